@@ -94,3 +94,19 @@ def key_stats(rows: DataFrame, key: str, ts_us: str, unique: str, value: str) ->
     return stitched.groupBy("k").agg(
         F.sum("n").alias("n_rows"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.try_divide(F.sum("sum_value"), F.sum("n_value")).alias("mean_value"), F.greatest(F.max("max_gap_us"), F.coalesce(F.max("seam_us"), F.lit(0))).alias("max_gap_us")
     ).withColumnRenamed("k", key)
+
+HOT_KEYS = 1000
+
+
+def hot_join(rows: DataFrame, lookup: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with lookup, a table of one row per key whose column n counts the rows of that key.
+
+    Keys with more than a HOT_KEYS-th of total rows are fewer than HOT_KEYS, so their part of lookup is broadcast;
+    all other keys meet in an ordinary shuffled join. n is dropped from the result.
+    """
+    limit = max(20_000, total // HOT_KEYS)
+    hot = F.broadcast(lookup.where(F.col(n) > limit).drop(n).withColumn("__hot", F.lit(True)))
+    known = rows.join(hot, key, "left")
+    names = [c for c in lookup.columns if c not in (key, n)]
+    cold = known.where("__hot is null").drop("__hot", *names).join(lookup.where(F.col(n) <= limit).drop(n), key, how)
+    return known.where("__hot").drop("__hot").unionByName(cold)
