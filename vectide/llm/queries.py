@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import packing, repetition, splits, tokens
+from vectide.llm import packing, repetition, splits, tokens, vectors
 from vectide.llm.sql import SQL  # noqa: F401
 from vectide.session import table
 
@@ -30,6 +30,35 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return want.join(F.broadcast(got), "split", "left").select("split", "share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), (F.coalesce("n_rows", F.lit(0)) / F.lit(max(total, 1))).alias("reached"))
 
 
+NEAR = 0.30
+K = 5
+
+
+def _points(spark: SparkSession, d: str) -> vectors.Collection:
+    return vectors.Collection(table(spark, d, "ingestpoint").select("sequence", "vector"), "sequence", "vector", 64, K + 1)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.neighbours_within(_points(spark, d), K, NEAR)
+    return near.select(F.least("id", "other").alias("sequence_a"), F.greatest("id", "other").alias("sequence_b")).distinct()
+
+
+def p4_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest of all records, with their entity, for every record whose sequence is divisible by 100."""
+    points = table(spark, d, "ingestpoint")
+    near = vectors.nearest_of(_points(spark, d), points.where("sequence % 100 = 0").select(F.col("sequence").alias("id")), K)
+    owner = points.groupBy("sequence").agg(F.min("entity_id").alias("entity_id"))
+    return near.join(owner.withColumnRenamed("sequence", "other"), "other").select(F.col("id").alias("sequence"), F.col("other").alias("neighbour"), "entity_id", "d2")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.clusters(_points(spark, d), NEAR)[0].withColumnRenamed("id", "sequence")
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.clusters(_points(spark, d), NEAR)[1]
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -55,4 +84,4 @@ def p10_bands(spark: SparkSession, d: str) -> DataFrame:
     return repetition.fertility_bands(repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_assign, p3_shares, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands)}

@@ -15,3 +15,17 @@ g as (select doc_id, i, row_number() over (partition by doc_id, ws[i], ws[i+1],
 h as (select distinct doc_id, i + j as pos from g, range(0, 5) t(j) where nth > 1)
 select h.doc_id from h join w using (doc_id) group by h.doc_id having count(*) >= 0.3 * any_value(len(ws))""",
 }
+
+_VECTORS = """
+with r as (select sequence, any_value(vector)::double[] as v from ingestpoint group by sequence),
+u as (select sequence, v from r where v is not null and len(v) = 64 and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+p as (select a.sequence as a, b.sequence as b, round(65536 * (list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v))) / 65536 as d2 from u a join u b on a.sequence <> b.sequence),
+n as (select * from p where d2 <= 0.30)
+"""
+SQL["p4_found"] = _VECTORS + """, t as (select *, row_number() over (partition by a order by d2, b) as place from n)
+select distinct least(a, b) as sequence_a, greatest(a, b) as sequence_b from t where place <= 5"""
+SQL["p4_knn"] = _VECTORS + """, t as (select *, row_number() over (partition by a order by d2, b) as place from p where a % 100 = 0)
+select t.a as sequence, t.b as neighbour, e.entity_id, t.d2 from t join (select sequence, min(entity_id) as entity_id from ingestpoint group by sequence) e on e.sequence = t.b where place <= 5"""
+SQL["p6_found"] = _VECTORS + """, s as (select a, list_sort(list_append(list(b), a)) as near from n group by a),
+bad as (select n.a from n join s x on x.a = n.a join s y on y.a = n.b where x.near <> y.near)
+select a as sequence, near[1] as cluster_key from s where a not in (select a from bad)"""
