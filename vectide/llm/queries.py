@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import packing, repetition, splits, tokens, vectors
+from vectide.llm import overlap, packing, repetition, splits, tokens, vectors
 from vectide.llm.sql import SQL  # noqa: F401
 from vectide.session import table
 
@@ -59,6 +59,32 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.clusters(_points(spark, d), NEAR)[1]
 
 
+def _split_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Each post with a split once, with its text; split and source beside the side it is on."""
+    split = table(spark, d, "erisk_mental_embeddings").where("split is not null").groupBy("post_id").agg(F.min("split").alias("split"))
+    posts = table(spark, d, "unified").where("text is not null").select("post_id", "text", "source").dropDuplicates(["post_id"])
+    return split.join(posts, "post_id").withColumn("side", F.when(F.col("split") == "train", "train").when(F.col("split").isin("val", "test"), "eval"))
+
+
+def _record_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = overlap.overlap_pairs(_split_posts(spark, d), "post_id", "text", "side", 0.5, 3, 20)
+    train = members.where("side = 'train'").select(F.col("key").alias("key_train"), F.col("id").alias("train_id"))
+    held = members.where("side = 'eval'").select(F.col("key").alias("key_eval"), F.col("id").alias("eval_id"))
+    return pairs.join(train, "key_train").join(held, "key_eval").select("train_id", "eval_id", "similarity")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _record_pairs(spark, d).select(F.least("train_id", "eval_id").alias("post_id_a"), F.greatest("train_id", "eval_id").alias("post_id_b"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and source: posts that overlap with a train post, and how many pairs, exact ones among them."""
+    where = table(spark, d, "erisk_mental_embeddings").where("split in ('val', 'test')").groupBy("post_id").agg(F.min("split").alias("split"))
+    source = table(spark, d, "unified").groupBy("post_id").agg(F.min("source").alias("source"))
+    per_post = _record_pairs(spark, d).groupBy(F.col("eval_id").alias("post_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("similarity") == 1.0).alias("same"))
+    return per_post.join(where, "post_id").join(source, "post_id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_posts"), F.sum("n").alias("n_pairs"), F.sum("same").alias("n_equal_pairs"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -84,4 +110,4 @@ def p10_bands(spark: SparkSession, d: str) -> DataFrame:
     return repetition.fertility_bands(repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands)}

@@ -29,3 +29,11 @@ select t.a as sequence, t.b as neighbour, e.entity_id, t.d2 from t join (select
 SQL["p6_found"] = _VECTORS + """, s as (select a, list_sort(list_append(list(b), a)) as near from n group by a),
 bad as (select n.a from n join s x on x.a = n.a join s y on y.a = n.b where x.near <> y.near)
 select a as sequence, near[1] as cluster_key from s where a not in (select a from bad)"""
+
+SQL["p7_found"] = """
+with s as (select post_id, min(split) as split from erisk_mental_embeddings where split is not null group by post_id),
+w as (select u.post_id, any_value(s.split) as split, any_value(regexp_extract_all(lower(u.text), '[\\p{L}\\p{N}]+')) as ws from unified u join s using (post_id) where u.text is not null group by u.post_id),
+g as (select post_id, split, unnest(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) as sh from w where len(ws) >= 20),
+n as (select post_id, count(*) as n from g group by post_id),
+b as (select a.post_id as x, e.post_id as y, count(*) as common from g a join g e on a.sh = e.sh where a.split = 'train' and e.split in ('val', 'test') group by all)
+select least(x, y) as post_id_a, greatest(x, y) as post_id_b from b join n p on p.post_id = x join n q on q.post_id = y where common >= 0.5 * (p.n + q.n - common)"""
