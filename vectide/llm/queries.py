@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import overlap, packing, repetition, splits, tokens, vectors
+from vectide.llm import overlap, packing, pii, repetition, splits, tokens, vectors
 from vectide.llm.sql import SQL  # noqa: F401
 from vectide.session import table
 
 
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "unified").select("post_id", "text").dropDuplicates(["post_id"])
+
+
+def _known(spark: SparkSession, d: str) -> pii.Knowledge:
+    names = [(r["name"], r["name_kind"]) for r in table(spark, d, "name_lexicon").limit(100_000).collect()]
+    return pii.learn(table(spark, d, "unified").select("text"), "text", names)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_items(table(spark, d, "unified").select("post_id", "text"), "post_id", "text", _known(spark, d))
+
+
+def p1_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    return pii.sanitise(_posts(spark, d), "post_id", "text", _known(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.torn_users(table(spark, d, "erisk_mental_embeddings"), "user_id", "split", table(spark, d, "subject_link"), "user_id_a", "user_id_b")
 
@@ -110,4 +127,4 @@ def p10_bands(spark: SparkSession, d: str) -> DataFrame:
     return repetition.fertility_bands(repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sanitised, p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands)}
