@@ -41,8 +41,8 @@ def _span(points: DataFrame) -> DataFrame:
     return F.broadcast(points.agg(F.max("t").alias("last_t"), (F.max("t") - F.min("t")).alias("span_t")))  # one row
 
 
-def nearest(points: DataFrame, spec: SearchSpec) -> DataFrame:
-    """points' rows of the k best, with semantic_distance, temporal_distance and score."""
+def nearest(points: DataFrame, spec: SearchSpec, collection: DataFrame | None = None) -> DataFrame:
+    """points' rows of the k best, with semantic_distance, temporal_distance and score; times are normalised over collection (else points)."""
     kept = points.where(spec.when.column())
     if not spec.metadata.is_empty:
         kept = kept.where(spec.metadata.column())
@@ -54,7 +54,7 @@ def nearest(points: DataFrame, spec: SearchSpec) -> DataFrame:
     if spec.alpha >= 1 and not spec.recency_weight:
         scored = scored.withColumn("temporal_distance", F.lit(None).cast("double")).withColumn("score", F.col("semantic_distance"))
     else:
-        scored = scored.crossJoin(_span(points))
+        scored = scored.crossJoin(_span(collection if collection is not None else points))
         sem = scoring.semantic_share(F.col("semantic_distance")) if spec.normalised else F.col("semantic_distance")
         tdist = scoring.temporal_distance(F.col("t"), spec.query_t, F.col("span_t"))
         late = scoring.recency_penalty(F.col("t"), F.col("last_t"), F.col("span_t"), spec.recency_rate)
@@ -86,7 +86,7 @@ def hybrid_search(points: DataFrame, spec: SearchSpec) -> DataFrame:
     seeds = nearest(points, SearchSpec(spec.vector, spec.k, spec.when, metric=spec.metric)).select("node_id")
     steps = with_steps(points).select("node_id", "before", "after")
     near = steps.join(F.broadcast(seeds), "node_id").select(F.explode(F.array("node_id", "before", "after")).alias("node_id")).where("node_id is not null").distinct()
-    return nearest(points.join(F.broadcast(near), "node_id", "left_semi"), SearchSpec(spec.vector, spec.k, spec.when, spec.alpha, spec.query_t, spec.metric, normalised=False))
+    return nearest(points.join(F.broadcast(near), "node_id", "left_semi"), SearchSpec(spec.vector, spec.k, spec.when, spec.alpha, spec.query_t, spec.metric, normalised=False), points)
 
 
 def causal_search(points: DataFrame, spec: SearchSpec, context: int) -> DataFrame:
