@@ -77,9 +77,9 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _split_posts(spark: SparkSession, d: str) -> DataFrame:
-    """Each post with a split once, with its text; split and source beside the side it is on."""
+    """Each post with a split once, with its text and the side it is on."""
     split = table(spark, d, "erisk_mental_embeddings").where("split is not null").groupBy("post_id").agg(F.min("split").alias("split"))
-    posts = table(spark, d, "unified").where("text is not null").select("post_id", "text", "source").dropDuplicates(["post_id"])
+    posts = table(spark, d, "unified").where("text is not null").select("post_id", "text").dropDuplicates(["post_id"])
     return split.join(posts, "post_id").withColumn("side", F.when(F.col("split") == "train", "train").when(F.col("split").isin("val", "test"), "eval"))
 
 
