@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,10 +98,7 @@ def fit_procrustes(pairs: DataFrame, source: str, target: str, dim: int) -> dict
 
 def apply_procrustes(points: DataFrame, vector: str, fit: dict, out: str = "aligned") -> DataFrame:
     """points with the transformed vector as a new column, one matrix product per batch."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<double>")
+    @F.pandas_udf("array<double>")
     def carry(v: pd.Series) -> pd.Series:
         x = np.stack(v.to_numpy()).astype(float)
         return pd.Series(list(fit["scale"] * (x - fit["mean_source"]) @ fit["rotation"] + fit["mean_target"]))

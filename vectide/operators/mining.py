@@ -129,7 +129,8 @@ def _pairs(points: DataFrame, pairs: DataFrame, kernel: Callable, schema: str) -
     """Rows of kernel(ta, a, tb, b) for each pair (a, b); a pair without points on one side gives none."""
     names = ["a", "b", *[p.split()[0] for p in schema.split(", ")]]
     p = points.select("entity_id", "t", "node_id", "vector")
-    side = lambda s: pairs.join(p, F.col(s) == F.col("entity_id")).drop("entity_id")
+    # fresh aliases: both sides come from the same tables
+    side = lambda s: pairs.join(p, F.col(s) == F.col("entity_id")).select(*[F.col(c).alias(c) for c in ("a", "b", "t", "node_id", "vector")])
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

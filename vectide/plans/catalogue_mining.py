@@ -1 +1,173 @@
-"""To be filled."""
+"""Whole-trajectory kernels; checked against plain versions in the tests where SQL can't express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vectide.functions import vectors
+from vectide.operators import cohort, mining, regions
+from vectide.plans.catalogue import PTS, query
+from vectide.session import table
+from vectide.sources.points import derived, ingested
+
+DAY = 86_400_000_000
+
+
+def _pairs(p):
+    return p.select(F.col("entity_id").alias("a")).distinct().where("a % 2 = 1").withColumn("b", F.col("a") + 1)
+
+
+@query()
+def change_points(spark, d):
+    return mining.change_points(derived(spark, d), 1.0).select("entity_id", "t", F.round("severity", 6).alias("severity"), "method")
+
+
+@query()
+def online_changes(spark, d):
+    return mining.online_changes(derived(spark, d).withColumn("vector", vectors.scale("vector", 20.0)), threshold=1.5).select("entity_id", "t", F.round("severity", 6).alias("severity"), "method")
+
+
+@query()
+def hurst(spark, d):
+    return mining.hurst(derived(spark, d)).withColumn("hurst", F.round("hurst", 6))
+
+
+SHORT = f"{PTS}, l as (select entity_id, row_number() over (partition by entity_id order by t, node_id) - 1 as i, t, vector[1:4] as v from pts where entity_id <= 10)"
+WINS = f"{SHORT}, w as (select a.entity_id, a.i, b.i as j, sqrt(sum(list_distance(x.v, y.v) ** 2) / 4) as dd from l a join l b on a.entity_id = b.entity_id and abs(a.i - b.i) >= 2 join range(0, 4) r(k) on true join l x on x.entity_id = a.entity_id and x.i = a.i + k join l y on y.entity_id = b.entity_id and y.i = b.i + k group by 1, 2, 3 having count(*) = 4)"
+
+
+def _short(spark, d):
+    return derived(spark, d).where("entity_id <= 10").withColumn("vector", F.slice("vector", 1, 4))
+
+
+@query(f"{WINS} select entity_id, i::int as start, round(min(dd), 6) as distance from w group by 1, 2")
+def matrix_profile(spark, d):
+    return mining.matrix_profile(_short(spark, d), 4).select("entity_id", "start", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def motifs(spark, d):
+    m = mining.motifs(_short(spark, d), 4, 3)
+    return m.select("entity_id", "rank", "canonical", "start", "t", F.round("distance", 6).alias("distance"), "period")
+
+
+@query(f"{WINS}, p as (select entity_id, i, min(dd) as dd from w group by 1, 2) select entity_id, i::int as start, round(dd, 6) as distance from p qualify row_number() over (partition by entity_id order by dd desc, i) = 1")
+def discords(spark, d):
+    return mining.discords(_short(spark, d), 4, 3).where("rank = 0").select("entity_id", "start", F.round("distance", 6).alias("distance"))
+
+
+STEPS = f"{PTS}, s as (select entity_id, row_number() over w as i, vector[1:3] as v, lead(vector[1:3]) over w as v1, first_value(vector[1:3]) over w as v0 from pts window w as (partition by entity_id order by t, node_id))"
+
+
+def _three(spark, d):
+    return derived(spark, d).withColumn("vector", F.slice("vector", 1, 3))
+
+
+@query(f"{STEPS}, one as (select entity_id, a.a - 1 as pos, sum(v1[a.a] - v[a.a]) as x from s, range(1, 4) a(a) where v1 is not null group by 1, 2), two as (select entity_id, 3 + (a.a - 1) * 3 + b.b - 1 as pos, sum((v[a.a] - v0[a.a]) * (v1[b.b] - v[b.b])) as x from s, range(1, 4) a(a), range(1, 4) b(b) where v1 is not null group by 1, 2) select entity_id, pos::int as pos, round(x, 6) as value from (select * from one union all select * from two)")
+def signature(spark, d):
+    return mining.signatures(_three(spark, d)).select("entity_id", F.posexplode("signature").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"{STEPS}, two as (select entity_id, a.a, b.b, sum((v[a.a] - v0[a.a]) * (v1[b.b] - v[b.b])) as x from s, range(1, 4) a(a), range(1, 4) b(b) where v1 is not null group by 1, 2, 3) select p.entity_id, (p.a * 10 + p.b)::int as place, round((p.x - q.x) / 2, 6) as value from two p join two q on p.entity_id = q.entity_id and p.a = q.b and p.b = q.a and p.a < p.b")
+def log_signature(spark, d):
+    s = mining.signatures(_three(spark, d), log=True).select("entity_id", F.posexplode("signature").alias("pos", "value")).where("pos >= 3")
+    return s.select("entity_id", F.element_at(F.array(F.lit(12), F.lit(13), F.lit(23)), F.col("pos") - 2).alias("place"), F.round("value", 6).alias("value"))
+
+
+@query()
+def trajectory_search(spark, d):
+    p = _three(spark, d)
+    recent = [list(r["vector"]) for r in p.where("entity_id = 1").orderBy("t", "node_id").limit(20).collect()]
+    return mining.trajectory_search(p, recent, 5).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def topology(spark, d):
+    t = mining.topology(derived(spark, d), 5)
+    return t.select("entity_id", "n_components", *[F.round(c, 6).alias(c) for c in ("total_persistence", "max_persistence", "mean_persistence", "entropy")])
+
+
+@query()
+def principal_plane(spark, d):
+    p = mining.plane(derived(spark, d).where("entity_id <= 20"))
+    return p.select("entity_id", "t", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query()
+def temporal_features(spark, d):
+    return mining.temporal_features(derived(spark, d), (3_600_000_000, DAY)).select("entity_id", F.size("features").alias("n_features"), F.round(F.col("features")[64], 6).alias("drift"))
+
+
+@query()
+def frechet(spark, d):
+    p = derived(spark, d)
+    return mining.frechet(p, _pairs(p)).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def granger(spark, d):
+    p = _three(spark, d).where("entity_id <= 40")
+    return mining.granger(p, _pairs(p), 3).select("a", "b", "direction", "lag", F.round("f", 4).alias("f"), F.round("p", 6).alias("p"))
+
+
+@query()
+def group_temporal_join(spark, d):
+    g = mining.group_temporal_join(derived(spark, d), 0.9, 3, 2 * DAY)
+    return g.select("start", "stop", F.size("entities").alias("n_entities"), F.round("mean_distance", 6).alias("mean_distance"))
+
+
+@query()
+def sliced_wasserstein(spark, d):
+    """Each entity's region shares against those of all, over the hubs' vectors."""
+    p = ingested(spark, d)
+    h = regions.hubs(p, 2)
+    centres = [list(r["hub_vector"]) for r in h.orderBy("hub").limit(1000).collect()]
+    ids = [r["hub"] for r in h.orderBy("hub").limit(1000).collect()]
+    a = regions.assign(p, h)
+    share = F.array(*[F.count_if(F.col("hub") == i) / F.count(F.lit(1)) for i in ids])
+    rows = a.groupBy("entity_id").agg(share.alias("p")).crossJoin(F.broadcast(a.agg(share.alias("q"))))
+    return mining.sliced_wasserstein(rows, "p", "q", centres, 20).select("entity_id", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def ode_solutions(spark, d):
+    rows = derived(spark, d).where("entity_id <= 20").select("node_id", F.slice("vector", 1, 2).alias("y0"), F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"))
+    return mining.integrate(rows, lambda t, y: -y, "y0", "t0", "t1").select("node_id", F.round(F.col("y")[0], 6).alias("y"))
+
+
+@query(f"{PTS} select node_id, round(vector[1] * 2 + 1, 6) as x from pts where entity_id <= 20")
+def procrustes(spark, d):
+    """Points against their doubled and shifted copies; the fitted transform carries every point onto its copy."""
+    p = derived(spark, d).withColumn("target", F.transform("vector", lambda x: x * 2 + 1))
+    fit = cohort.fit_procrustes(p, "vector", "target", 64)
+    return cohort.apply_procrustes(p.where("entity_id <= 20"), "vector", fit).select("node_id", F.round(F.col("aligned")[0], 6).alias("x"))
+
+
+@query()
+def entity_summary(spark, d):
+    from vectide.plans.engine import entity_summaries
+
+    return entity_summaries(derived(spark, d))
+
+
+@query()
+def anomaly_scan(spark, d):
+    from vectide.plans.engine import anomaly_scan as scan
+
+    return scan(derived(spark, d), 30 * DAY, penalty=1.0)
+
+
+@query()
+def compare_entities(spark, d):
+    from vectide.plans.engine import compare_entities as compare
+
+    return compare(derived(spark, d), 1, 2, 1.1, 7 * DAY)
+
+
+@query("""select node_id, coalesce(metadata['model'], '') as model from ingestpoint where coalesce(metadata['model'], '') <> ''""")
+def mock_embedding(spark, d):
+    from vectide.sources.embed import embed
+
+    p = table(spark, d, "ingestpoint").select("node_id", F.coalesce(F.try_element_at("metadata", F.lit("model")), F.lit("")).alias("model"))
+    out = embed(p.where("model <> ''"), "model", 8)
+    return out.where(F.abs(vectors.norm("embedding") - 1) < 1e-6).select("node_id", "model")
