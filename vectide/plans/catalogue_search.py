@@ -264,10 +264,10 @@ def region_shares(spark, d):
 
 @query(ING.replace("with ing", "with recursive ing", 1) + f""", {HUBS}, {SHARES},
 g as (select x.entity_id, x.win, x.t, y.hub, coalesce(sh.share, 0) as share, row_number() over (partition by x.entity_id, y.hub order by x.win) as i from (select distinct entity_id, win, t from sh) x join (select distinct entity_id, hub from sh) y using (entity_id) left join sh on sh.entity_id = x.entity_id and sh.win = x.win and sh.hub = y.hub),
-r as (select entity_id, hub, win, t, share, i from g where i = 1 union all select g.entity_id, g.hub, g.win, g.t, 0.3 * g.share + 0.7 * r.share, g.i from r join g on g.entity_id = r.entity_id and g.hub = r.hub and g.i = r.i + 1)
-select entity_id, hub, win, t, round(share, 4) as share from r where entity_id <= 3""")
+r as (select entity_id, hub, win, t, share, i from g where i = 1 union all select g.entity_id, g.hub, g.win, g.t, 0.3183099 * g.share + (1 - 0.3183099) * r.share, g.i from r join g on g.entity_id = r.entity_id and g.hub = r.hub and g.i = r.i + 1)
+select entity_id, hub, win, t, round(share, 6) as share from r where entity_id <= 3""")
 def region_trajectory(spark, d):
-    return regions.region_trajectory(_assigned(spark, d)[0], WEEK, 0.3).where("entity_id <= 3").withColumn("share", F.round("share", 4))
+    return regions.region_trajectory(_assigned(spark, d)[0], WEEK, 0.3183099).where("entity_id <= 3").withColumn("share", F.round("share", 6))
 
 
 DIST = ", ad as (select node_id, entity_id, t, anchor_idx as anchor, 1 - list_inner_product(pts.vector, a.vector) / (sqrt(list_inner_product(pts.vector, pts.vector)) * sqrt(list_inner_product(a.vector, a.vector))) as dd from pts, anchors a)"
