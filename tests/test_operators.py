@@ -14,7 +14,7 @@ from vectide.operators import trajectory as tr
 from vectide.operators.search import SearchSpec
 from vectide.plans import engine
 from vectide.sources import embed, files
-from vectide.sources.points import split_valid
+from vectide.sources.points import ingested, split_valid
 
 POINT = "node_id long, entity_id long, t long, vector array<double>, reward double, metadata map<string,string>"
 
@@ -246,3 +246,6 @@ def test_plan_pushes_filters(spark, sf, capsys):
     table(spark, sf, "ingestpoint").where(TemporalFilter.between(5, 6).column()).select("node_id").explain("formatted")
     text = capsys.readouterr().out
     assert "GreaterThanOrEqual(t,5)" in text and "ReadSchema: struct<node_id:bigint,t:bigint>" in text
+    search.nearest(ingested(spark, sf), SearchSpec([0.0] * 64, when=TemporalFilter.between(5, 6))).explain("formatted")
+    text = capsys.readouterr().out
+    assert "GreaterThanOrEqual(t,5)" in text and "TakeOrderedAndProject" in text

@@ -39,9 +39,12 @@ def latest(points: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def ingested(spark: SparkSession, d: str) -> DataFrame:
-    """The valid records of ingestpoint, each once (the first node of a sequence), vectors as double, NaN rewards as null."""
+    """The valid records of ingestpoint, each once (the first node of a sequence), vectors as double, NaN rewards as null.
+
+    Copies of a record agree on time and entity; as grouping keys these let filters on them reach the scan.
+    """
     raw = table(spark, d, "ingestpoint").select("node_id", "sequence", "entity_id", "t", "vector", "reward", "metadata")
-    valid, _ = split_valid(latest(raw, ["sequence"], [F.col("node_id")]), 64)
+    valid, _ = split_valid(latest(raw, ["sequence", "t", "entity_id"], [F.col("node_id")]), 64)
     return valid.withColumn("vector", F.col("vector").cast("array<double>")).withColumn("reward", F.when(~F.isnan("reward"), F.col("reward")))
 
 
