@@ -111,9 +111,9 @@ class Knowledge:
     towns: set[str] = field(default_factory=set)
 
     @cached_property
-    def pair_heads(self) -> set[str]:
-        """First words of the family names of several words."""
-        return {f.split()[0] for f in self.family if " " in f} - PARTICLES
+    def pair_tails(self) -> set[str]:
+        """Last words of the family names of several words."""
+        return {f.split()[-1] for f in self.family if " " in f}
 
 
 def bits(part: float, whole: float) -> float:
@@ -209,7 +209,10 @@ def observe(text: str, given: set[str], family: set[str], seen: Counter) -> None
     for t in toks:
         if " " in t[2]:
             seen[t[2]] += 1
-    big = lambda p: text[toks[p][0]].isupper() and text[toks[p][0] + 1 : toks[p][0] + 2].islower()
+    def big(p: int) -> bool:
+        last = text[toks[p][0] : toks[p][1]].split()[-1]
+        return last[0].isupper() and not last.isupper()
+
     for i, (a, _, w) in enumerate(toks):
         nxt = toks[i + 1] if i + 1 < len(toks) else None
         if w in given and nxt:
@@ -321,7 +324,7 @@ def spans(text: str, k: Knowledge) -> list[tuple[int, int, str]]:
     if len(DIGIT_WORDS & kinds) > 2:
         for m in SPOKEN.finditer(text):
             add(m.start(), m.end(), "phone")
-    if k.given.isdisjoint(kinds) and k.family.isdisjoint(kinds) and k.pair_heads.isdisjoint(kinds):
+    if k.given.isdisjoint(kinds) and k.family.isdisjoint(kinds) and k.pair_tails.isdisjoint(kinds):
         return sorted(taken)
     toks = _tokens(text, k.given, k.family)
     i, n = 0, len(toks)
@@ -341,7 +344,7 @@ def spans(text: str, k: Knowledge) -> list[tuple[int, int, str]]:
             if ok:
                 end = j
         if end is None and fam(i):
-            if i + 1 < n and (comma(i, i + 1) or blank(i, i + 1)) and (giv(i + 1) or (one(i + 1) and comma(i, i + 1) and text[toks[i + 1][1] : toks[i + 1][1] + 1] == ".")):
+            if i + 1 < n and (comma(i, i + 1) or blank(i, i + 1)) and (giv(i + 1) or (toks[i + 1][2] in k.rare_given and text[toks[i + 1][0]].isupper()) or (one(i + 1) and comma(i, i + 1) and text[toks[i + 1][1] : toks[i + 1][1] + 1] == ".")):
                 end = i + 1
                 while one(end + 1) and blank(end, end + 1) and text[toks[end + 1][1] : toks[end + 1][1] + 1] == ".":
                     end += 1
