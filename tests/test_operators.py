@@ -249,3 +249,14 @@ def test_plan_pushes_filters(spark, sf, capsys):
     search.nearest(ingested(spark, sf), SearchSpec([0.0] * 64, when=TemporalFilter.between(5, 6))).explain("formatted")
     text = capsys.readouterr().out
     assert "GreaterThanOrEqual(t,5)" in text and "TakeOrderedAndProject" in text
+
+
+def test_small_search_helpers(spark):
+    p = points(spark, [(1, 0, [0.0, 0.0], 0.1, None), (1, 1, [0.0, 0.1], None, None), (1, 2, [3.0, 0.0], None, None)])
+    near = search.nearest(p, SearchSpec([0.0, 0.0], 3))
+    assert [r["node_id"] for r in search.diverse(near, 5).collect()] == [0, 2] or [r["node_id"] for r in search.diverse(near, 5).collect()] == [0]
+    up = spark.createDataFrame([(0, 0.9, 1), (0, 0.5, 2), (2, None, 1), (None, 1.0, 1)], "node_id long, reward double, version int")
+    assert {r["node_id"]: r["reward"] for r in search.set_rewards(p, up).collect()} == {0: 0.5, 1: None, 2: None}
+    a = spark.createDataFrame([([1, 2], [3, 2, 4], [2])], "p array<int>, b array<int>, x array<int>")
+    assert one(a.select(search.active_neighbours(F.col("p"), F.col("b"), F.col("x"), 2).alias("n")))["n"] == [1, 3]
+    assert search.nearest_over([p, p], SearchSpec([0.0, 0.0], 9)).count() == 3

@@ -134,3 +134,13 @@ def valid_actions(actions: DataFrame, needs: DataFrame, state: DataFrame) -> Dat
 def apply_action(state: DataFrame, effects: DataFrame) -> DataFrame:
     """The state with the effects added; nothing is taken away."""
     return state.select("fact").unionByName(effects.select("fact")).distinct()
+
+
+def entities_by_type(entities: DataFrame, entity_type: str) -> DataFrame:
+    return entities.where(F.col("entity_type") == entity_type)
+
+
+def graph_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """kind, n: how many entities and relations of each type."""
+    count = lambda d, c: d.groupBy(F.col(c).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return count(entities, "entity_type").unionByName(count(relations, "relation_type"))

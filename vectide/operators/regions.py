@@ -101,3 +101,20 @@ def centred_projection(points: DataFrame, anchors: Sequence[Sequence[float]], ce
     """Cosine distances to anchors after subtracting the centre from points and anchors."""
     moved = [[a - c for a, c in zip(x, centre)] for x in anchors]
     return project_to_anchors(points.withColumn("vector", vectors.subtract("vector", [float(c) for c in centre])), moved)
+
+
+def members(assigned: DataFrame, hub: int, when: Column | None = None) -> DataFrame:
+    """node_id, entity_id, t of one region's points."""
+    kept = assigned.where(F.col("hub") == hub)
+    return (kept if when is None else kept.where(when)).select("node_id", "entity_id", "t")
+
+
+def anchor_points(points: DataFrame, anchors: Sequence[Sequence[float]], model: str, metric: str = "cosine") -> DataFrame:
+    """Points in anchor space, tagged with the model they came from; the vectors of different models become comparable."""
+    p = project_to_anchors(points, anchors, metric)
+    return p.withColumn("vector", F.col("dist")).drop("dist").withColumn("source_model", F.lit(model))
+
+
+def by_model(anchored: DataFrame) -> DataFrame:
+    """entity_id, source_model, first_t, last_t, n_points over anchored points of several models."""
+    return anchored.groupBy("entity_id", "source_model").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n_points"))

@@ -149,3 +149,45 @@ def centroid(points: DataFrame, by: list[str] | None = None) -> DataFrame:
 def centroid_vector(points: DataFrame) -> DataFrame:
     """The centroid as one row with one array."""
     return centroid(points).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("centroid"))
+
+
+def set_rewards(points: DataFrame, updates: DataFrame) -> DataFrame:
+    """points with the rewards of updates (node_id, reward, and version to tell the latest of several; null versions lose) in place of their own."""
+    latest = updates.where("node_id is not null").groupBy("node_id").agg(F.max_by("reward", F.struct(F.coalesce("version", F.lit(-1)), "reward")).alias("new"), F.lit(True).alias("hit"))
+    return points.join(latest, "node_id", "left").withColumn("reward", F.when(F.col("hit"), F.col("new")).otherwise(F.col("reward"))).drop("new", "hit")
+
+
+def nearest_over(parts: Sequence[DataFrame], spec: SearchSpec) -> DataFrame:
+    """One search over several stores (say a compacted one and a fresh buffer), by one score; a node in several counts once, from the first."""
+    tagged = [p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)]
+    every = tagged[0]
+    for p in tagged[1:]:
+        every = every.unionByName(p)
+    rest = [c for c in parts[0].columns if c != "node_id"]
+    once = every.groupBy("node_id").agg(F.min_by(F.struct(*rest), "__part").alias("r")).select("node_id", *[F.col("r")[c].alias(c) for c in rest])
+    return nearest(once, spec)
+
+
+def diverse(ranked: DataFrame, k: int) -> DataFrame:
+    """Of few candidates (node_id, score, vector) those that are nearer to the query than to any chosen before, best first, at most k.
+
+    The rule is sequential, so candidates are bounded: the MOST_QUERIES best are looked at in one task.
+    """
+    import pandas as pd
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values(["score", "node_id"])
+        taken: list[int] = []
+        x = np.stack(pdf["vector"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
+        for i, s in enumerate(pdf["score"]):
+            if len(taken) < k and all(((x[i] - x[j]) ** 2).sum() > s for j in taken):
+                taken.append(i)
+        yield pdf.iloc[taken][["node_id", "score"]]
+
+    return ranked.orderBy("score", "node_id").limit(MOST_QUERIES).select("node_id", "score", "vector").coalesce(1).mapInPandas(choose, "node_id long, score double")
+
+
+def active_neighbours(primary: Column, backup: Column, expired: Column, most: int) -> Column:
+    """Primary neighbours that haven't expired, filled up with backups that are neither expired nor among them."""
+    live = F.array_except(primary, expired)
+    return F.slice(F.array_union(live, F.array_except(backup, expired)), 1, most)

@@ -213,3 +213,13 @@ def store_put_delete(spark, d):
     old = p.groupBy("entity_id", "t").agg(F.min("sequence").alias("s"))
     new = p.where("entity_id < 50").groupBy("entity_id", "t").agg((F.max("sequence") + 5).alias("s"))
     return storage.delete(storage.put(old, new, ["entity_id", "t"]), old.where("entity_id = 3"), ["entity_id"])
+
+
+@query("select 'nation' as kind, count(*) as n from nation union all select 'region', count(*) from region union all select 'in_region', count(*) from nation union all select 'precedes', count(*) from nation")
+def kg_stats(spark, d):
+    return graph.graph_stats(*_kg(spark, d))
+
+
+@query("select r_regionkey::bigint + 1000 as id from region")
+def kg_entities_of_type(spark, d):
+    return graph.entities_by_type(_kg(spark, d)[0], "region").select("id")

@@ -292,3 +292,63 @@ def anchor_summary(spark, d):
 select entity_id, round(sqrt(sum((d2 - d1) ** 2)), 6) as l2, arg_max(anchor, struct_pack(a := abs(d2 - d1), b := anchor)) as dominant from n group by 1""")
 def anchor_drift(spark, d):
     return regions.anchor_drift(_projected(spark, d), LOW, HIGH).select("entity_id", F.round("l2", 6).alias("l2"), "dominant")
+
+
+@query(f"{ING}, u as (select node_id, 0.25 as r from pts where node_id % 5 = 0 union all select node_id, 0.75 from pts where node_id % 10 = 0) select node_id, round(case when node_id % 10 = 0 then 0.75 when node_id % 5 = 0 then 0.25 else reward end, 6) as reward from pts")
+def rewards_set(spark, d):
+    p = pts.ingested(spark, d)
+    new = p.where("node_id % 5 = 0").select("node_id", F.lit(0.25).alias("reward"), F.lit(1).alias("version")).unionByName(p.where("node_id % 10 = 0").select("node_id", F.lit(0.75).alias("reward"), F.lit(2).alias("version")))
+    return search.set_rewards(p, new).select("node_id", F.round("reward", 6).alias("reward"))
+
+
+@query(_sql())
+def buffer_union_search(spark, d):
+    p = pts.ingested(spark, d)
+    return _out(search.nearest_over([p.where(f"t <= {MID}"), p.where(f"t > {MID - WEEK}")], SearchSpec(_q(spark, d))))
+
+
+@query(_sql(where=f"t between {LOW} and {MID}"))
+def partitioned_search(spark, d):
+    """The same search over a store written by time bucket; only the buckets of the range are read."""
+    from vectide.operators import storage
+    from vectide.session import Scratch
+
+    where = Scratch(spark, "store").path()
+    storage.write_points(pts.ingested(spark, d).select("node_id", "entity_id", "t", "vector"), where, WEEK)
+    return _out(search.nearest(storage.read_range(spark, where, LOW, MID, WEEK), SearchSpec(_q(spark, d))))
+
+
+@query(f"{ING}{DIST}, qa as (select anchor_idx as anchor, 1 - list_inner_product(q, a.vector) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(a.vector, a.vector))) as x from qv, anchors a), s as (select node_id, entity_id, sum((dd - x) ** 2) as score from ad join qa using (anchor) group by 1, 2) select node_id, entity_id, round(score, 6) as score from s order by s.score, node_id limit 10")
+def anchor_space_search(spark, d):
+    a = _anchors(spark, d)
+    q, p = _q(spark, d), pts.ingested(spark, d)
+    even, odd = regions.anchor_points(p.where("node_id % 2 = 0"), a, "even"), regions.anchor_points(p.where("node_id % 2 = 1"), a, "odd")
+    import numpy as np
+
+    x = np.array(a)
+    want = (1 - x @ q / (np.linalg.norm(x, axis=1) * np.linalg.norm(q))).tolist()
+    return _out(search.nearest(even.unionByName(odd), SearchSpec(want)))
+
+
+@query(f"{ING} select entity_id, case when node_id % 2 = 0 then 'even' else 'odd' end as source_model, min(t) as first_t, max(t) as last_t, count(*) as n_points from pts group by 1, 2")
+def models_by_entity(spark, d):
+    a, p = _anchors(spark, d), pts.ingested(spark, d)
+    return regions.by_model(regions.anchor_points(p.where("node_id % 2 = 0"), a, "even").unionByName(regions.anchor_points(p.where("node_id % 2 = 1"), a, "odd")))
+
+
+@query(f"{ING}, {HUBS} select node_id, entity_id, t from asg where hub = (select min(node_id) from pts where node_id % 16 = 0)")
+def region_members(spark, d):
+    a, h = _assigned(spark, d)
+    return regions.members(a, h.agg(F.min("hub")).first()[0])
+
+
+@query("""select node_id, case when vector is null or len(vector) = 0 then 'empty_vector' when len(vector) <> 64 then 'wrong_dimension' when t is null then 'timestamp_out_of_range' when len(list_filter(vector, lambda x: x is null or isnan(x))) > 0 then 'nan' when len(list_filter(vector, lambda x: isinf(x))) > 0 then 'infinite' else 'zero_vector' end as reason
+from ingestpoint where vector is null or len(vector) <> 64 or t is null or len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) > 0 or len(list_filter(vector, lambda x: x <> 0)) = 0 order by node_id limit 1""")
+def first_invalid(spark, d):
+    return pts.first_invalid(table(spark, d, "ingestpoint"), "node_id", 64).select("node_id", "reason")
+
+
+@query()
+def diverse_neighbours(spark, d):
+    near = search.nearest(pts.ingested(spark, d), SearchSpec(_q(spark, d), 200))
+    return search.diverse(near, 10).withColumn("score", F.round("score", 6))

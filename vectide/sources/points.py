@@ -54,3 +54,8 @@ def derived(spark: SparkSession, d: str) -> DataFrame:
     n = pool.agg(F.count(F.lit(1)).alias("n"))
     keyed = events.select(F.col("event_id").alias("node_id"), F.col("user_id").alias("entity_id"), micros(events, "ts").alias("t"), "event_type", "value").crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("node_id") % F.col("n"))
     return keyed.join(pool.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label"), "vec_id").select("node_id", "entity_id", "t", "vector", "event_type", "value", "label")
+
+
+def first_invalid(points: DataFrame, order: str, dim: int, vector: str = "vector", t: str = "t", **options) -> DataFrame:
+    """The first bad row of a batch by an order column, with its reason; no row if all are valid."""
+    return split_valid(points, dim, vector, t, **options)[1].orderBy(order).limit(1)
