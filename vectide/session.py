@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = os.environ.get("VECTIDE_TEST_SHARED")
     if not made:
         made = tempfile.mkdtemp(prefix="vectide-shared-")
@@ -66,6 +68,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/vectide/{name}-{uuid.uuid4().hex}"
         self.step = 0
+        atexit.register(self.clear)
 
     def path(self) -> str:
         self.step += 1
@@ -78,10 +81,18 @@ class Scratch:
         out.scratch_path = where
         return out
 
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *dfs: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for df in dfs:
-            where = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            where.getFileSystem(conf).delete(where, True)
+            self._delete(df.scratch_path)
+
+    def clear(self) -> None:
+        """Delete everything written here; done at the end of the process, as results may still read it before."""
+        try:
+            self._delete(self.root)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            pass
