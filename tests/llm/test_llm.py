@@ -78,7 +78,7 @@ def test_learned(known):
     [
         ("write to bjorn dot c at quill dot mail dot example now", {("email", "bjorndotcatquilldotmaildotexample")}),
         ("a.b+c@x-y.example.org, or q ＠ z.test!", {("email", "abcxyexampleorg"), ("email", "qztest")}),
-        ("pinned cvx@0.18.4 recall@10 @night_owl", set()),
+        ("pinned pkg@0.18.4 recall@10 @night_owl", set()),
         ("tel (020) 7946 0339 or +44 7700 900432", {("phone", "02079460339"), ("phone", "447700900432")}),
         ("Call me on 7035550176. entity 9625441360 moved", {("phone", "7035550176")}),
         ("My SSN is 907235020, seed 907235021", {("id_number", "907235020")}),
