@@ -30,6 +30,7 @@ from vectide.session import Scratch
 THRESHOLD_BITS = 2.0
 RARE_BITS = 7.0
 LEAST_SUPPORT = 3
+TERM_SHARE = 1e-6  # a term is learned if at least this share of its kind's sightings are its own, so there are at most a million of a kind
 CONTEXT_SHARE = 0.002  # a context counts if at least this share of its kind's sure entities stands in it, so there are at most 500
 
 S = r"[ \t ]"
@@ -253,8 +254,8 @@ def learn(posts: DataFrame, text: str, names: list[tuple[str, str]]) -> Knowledg
     counts = Scratch(posts.sparkSession, "pii").write(counts.where((F.col("n") >= LEAST_SUPPORT) | F.col("k").rlike("^\x01(family|given|full)\x01")))
     marked = counts.where(F.col("k").startswith("\x01")).select(F.split("k", "\x01").alias("p"), "n").select(F.col("p")[1].alias("kind"), F.col("p")[2].alias("term"), F.get("p", F.lit(3)).alias("partner"), "n")
     contexts = ("phone", "id", "name")
-    partners = marked.where("partner is not null").groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count("partner").alias("partners")).where(F.col("partners") >= 2).where(F.col("n") >= LEAST_SUPPORT)
-    total = {r["kind"]: r["n"] for r in marked.where(F.col("kind").isin(*contexts)).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    total = {r["kind"]: r["n"] for r in marked.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a kind
+    partners = marked.where("partner is not null").groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count("partner").alias("partners")).where(F.col("partners") >= 2).where(F.col("n") >= LEAST_SUPPORT + TERM_SHARE * sum(total.get(x, 0) for x in ("family", "given", "full")))
     k = Knowledge(given=set(given), family=set(family))
     share = F.create_map(*[x for c in contexts for x in (F.lit(c), F.lit(max(LEAST_SUPPORT, CONTEXT_SHARE * total.get(c, 0))))])
     for r in marked.where(F.col("kind").isin(*contexts)).where((F.col("n") >= share[F.col("kind")]) & (F.col("term") != "")).collect():  # at most 500 per kind
@@ -265,10 +266,10 @@ def learn(posts: DataFrame, text: str, names: list[tuple[str, str]]) -> Knowledg
     k.phone_contexts = {c for c in k.phone_contexts if bits(sure[("phone", c)], sure[("phone", c)] + bare.get(("bare_phone", c), 0)) <= THRESHOLD_BITS}
     k.id_contexts = {c for c in k.id_contexts if bits(sure[("id", c)], sure[("id", c)] + bare.get(("bare_id", c), 0)) <= THRESHOLD_BITS}
     shapes = marked.where("kind = 'shape'").select("term", F.col("n").alias("whole"))
-    disclosed = lambda kind, whole, least: marked.where(F.col("kind") == kind).select("term", "n").join(whole, "term").where(F.col("n") >= F.pow(F.lit(2.0), F.lit(-least)) * F.col("whole"))
+    disclosed = lambda kind, whole, least: marked.where((F.col("kind") == kind) & (F.col("n") >= TERM_SHARE * total.get(kind, 0))).select("term", "n").join(whole, "term").where(F.col("n") >= F.pow(F.lit(2.0), F.lit(-least)) * F.col("whole"))
     words = counts.where(~F.col("k").startswith("\x01")).select(F.col("k").alias("term"), F.col("n").alias("whole"))
     k.streets = {r["term"] for r in disclosed("street", shapes, 4.0).collect()}
-    k.towns = {r["term"] for r in marked.where("kind = 'town'").where(F.col("n") >= LEAST_SUPPORT).collect()}
+    k.towns = {r["term"] for r in marked.where("kind = 'town'").where(F.col("n") >= LEAST_SUPPORT + TERM_SHARE * total.get("town", 0)).collect()}
     told = partners.join(words, "term").select("kind", "term", "n", "whole")
     k.family |= {r["term"] for r in told.where((F.col("kind") == "family") & (F.col("n") >= 2.0**-THRESHOLD_BITS * F.col("whole"))).collect()}
     tied = told.where(F.col("kind").isin("given", "full")).groupBy("term").agg(F.sum("n").alias("n"), F.max("whole").alias("whole"))
