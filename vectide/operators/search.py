@@ -103,6 +103,12 @@ def causal_search(points: DataFrame, spec: SearchSpec, context: int) -> DataFram
     return F.broadcast(at).join(others, "entity_id").where((F.abs(offset) <= context) & (offset != 0)).select("node_id", "score", "entity_id", offset.alias("offset"), "other_id", "other_t")
 
 
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least scores, ties by id; only the rows up to the k-th value are sorted."""
+    at = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else np.arange(len(score))
+    return at[np.lexsort((ids[at], score[at]))[:k]]
+
+
 def batch_nearest(points: DataFrame, queries: Sequence[Sequence[float]], k: int, metric: str = "l2") -> DataFrame:
     """query, node_id, score for many queries at once: one matrix product per batch of rows, k rows per query and partition travel on."""
     if len(queries) > MOST_QUERIES:
@@ -125,10 +131,10 @@ def batch_nearest(points: DataFrame, queries: Sequence[Sequence[float]], k: int,
                 d = np.where(s < vectors.TINY, 1.0, 1 - np.clip(p / np.maximum(s, 1e-300), -1, 1))
             ids, dist = np.concatenate([ids, b.column(0).to_numpy()]), np.concatenate([dist, d], 1)
             if len(ids) > 4 * k + 4096:
-                keep = np.unique(np.concatenate([np.lexsort((ids, r))[:k] for r in dist]))
+                keep = np.unique(np.concatenate([_best(r, ids, k) for r in dist]))
                 ids, dist = ids[keep], dist[:, keep]
         for i, r in enumerate(dist):
-            best = np.lexsort((ids, r))[:k]
+            best = _best(r, ids, k)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), i, np.int32)), pa.array(ids[best]), pa.array(r[best])], ["query", "node_id", "score"])
 
     part = points.select("node_id", "vector").mapInArrow(run, "query int, node_id long, score double")
