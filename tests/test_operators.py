@@ -260,3 +260,18 @@ def test_small_search_helpers(spark):
     a = spark.createDataFrame([([1, 2], [3, 2, 4], [2])], "p array<int>, b array<int>, x array<int>")
     assert one(a.select(search.active_neighbours(F.col("p"), F.col("b"), F.col("x"), 2).alias("n")))["n"] == [1, 3]
     assert search.nearest_over([p, p], SearchSpec([0.0, 0.0], 9)).count() == 3
+
+
+def test_every_hub_takes_part_in_transport(spark, monkeypatch):
+    from vectide.kernels import statistics
+    from vectide.plans import catalogue_mining
+
+    n = 1100  # hubs; each stands on its own spot, its entity's points too
+    p = spark.createDataFrame([(256 * (i + 1) if j == 0 else 256 * (i + 1) + j, i % 1099, j, [float(i), float(i * i % 97)], None, None) for i in range(n) for j in range(2)], POINT)
+    monkeypatch.setattr(catalogue_mining, "ingested", lambda s, d: p)
+    got = {r["entity_id"]: r["distance"] for r in catalogue_mining.sliced_wasserstein(spark, "").collect()}
+    c, q = np.array([[float(i), float(i * i % 97)] for i in range(n)]), np.full(n, 1 / n)
+    for e in (0, 1, 999, 1000, 1098):
+        at = np.array([i % 1099 == e for i in range(n)], float)
+        assert abs(got[e] - statistics.sliced_wasserstein(at / at.sum(), q, c, 20)) < 1e-6, e
+    assert len(got) == 1099

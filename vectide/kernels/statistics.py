@@ -118,13 +118,19 @@ def directions(n: int, dim: int, seed: int = 42) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def projected_orders(centres: np.ndarray, n: int = 50, seed: int = 42) -> list[np.ndarray]:
+    """The order of the centres along each of n directions."""
+    return [np.argsort(centres @ u, kind="stable") for u in directions(n, centres.shape[1], seed)]
+
+
+def transport(p: np.ndarray, q: np.ndarray, orders: list[np.ndarray]) -> float:
+    """Mean over orders of the transport cost between two distributions, places taken as one unit apart."""
+    return float(np.mean([np.abs(np.cumsum(p[order] - q[order])).sum() for order in orders]))
+
+
 def sliced_wasserstein(p: np.ndarray, q: np.ndarray, centres: np.ndarray, n: int = 50, seed: int = 42) -> float:
     """Mean over projections of the transport cost between two distributions over centres, taken as one unit apart in projected order."""
-    cost = []
-    for u in directions(n, centres.shape[1], seed):
-        order = np.argsort(centres @ u, kind="stable")
-        cost.append(np.abs(np.cumsum(p[order] - q[order])).sum())
-    return float(np.mean(cost))
+    return transport(p, q, projected_orders(centres, n, seed))
 
 
 def principal_plane(x: np.ndarray, rounds: int = 200) -> np.ndarray:

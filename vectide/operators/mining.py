@@ -215,6 +215,33 @@ def sliced_wasserstein(rows: DataFrame, p: str, q: str, centres: Sequence[Sequen
     return rows.withColumn(out, cost(p, q))
 
 
+def region_transport(assigned: DataFrame, hub_table: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
+    """entity_id, distance: sliced transport distance of each entity's region shares to those of all points, over every hub.
+
+    An entity's counts travel sparse; the hubs, which regions.assign bounds, are collected once, so that centres,
+    ids and the shares of all keep one order.
+    """
+    rows = hub_table.orderBy("hub").collect()
+    ids, c = np.array([r["hub"] for r in rows], np.int64), np.array([r["hub_vector"] for r in rows], float)
+    counts = assigned.groupBy("entity_id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    of_all = {r["hub"]: r["n"] for r in assigned.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).collect()}
+    q = np.array([of_all.get(int(i), 0) for i in ids], float) / max(sum(of_all.values()), 1)
+    shared = assigned.sparkSession.sparkContext.broadcast((ids, q, statistics.projected_orders(c, n, seed) if len(rows) else []))
+
+    @F.pandas_udf("double")
+    def cost(hubs: pd.Series, ns: pd.Series) -> pd.Series:
+        ids, q, orders = shared.value
+        out = []
+        for h, k in zip(hubs, ns):
+            p = np.zeros(len(ids))
+            p[np.searchsorted(ids, h)] = np.asarray(k, float) / k.sum()
+            out.append(statistics.transport(p, q, orders))
+        return pd.Series(out, dtype=float)
+
+    each = counts.groupBy("entity_id").agg(F.collect_list(F.struct("hub", "n")).alias("x"))
+    return each.select("entity_id", cost(F.col("x")["hub"], F.col("x")["n"]).alias("distance"))
+
+
 def integrate(rows: DataFrame, system: Callable[[float, np.ndarray], np.ndarray], y0: str, t0: str, t1: str, out: str = "y") -> DataFrame:
     """rows with the solution of an ODE from (t0, y0) at t1, each row on its own."""
     @F.pandas_udf("array<double>")

@@ -118,15 +118,10 @@ def group_temporal_join(spark, d):
 
 @query()
 def sliced_wasserstein(spark, d):
-    """Each entity's region shares against those of all, over the hubs' vectors."""
+    """Each entity's region shares against those of all, over the vectors of all hubs of the level."""
     p = ingested(spark, d)
     h = regions.hubs(p, 2)
-    centres = [list(r["hub_vector"]) for r in h.orderBy("hub").limit(1000).collect()]
-    ids = [r["hub"] for r in h.orderBy("hub").limit(1000).collect()]
-    a = regions.assign(p, h)
-    share = F.array(*[F.count_if(F.col("hub") == i) / F.count(F.lit(1)) for i in ids])
-    rows = a.groupBy("entity_id").agg(share.alias("p")).crossJoin(F.broadcast(a.agg(share.alias("q"))))
-    return mining.sliced_wasserstein(rows, "p", "q", centres, 20).select("entity_id", F.round("distance", 6).alias("distance"))
+    return mining.region_transport(regions.assign(p, h), h, 20).withColumn("distance", F.round("distance", 6))
 
 
 @query()
