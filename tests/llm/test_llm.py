@@ -204,6 +204,33 @@ def test_vectors_empty_and_chain(spark):
     assert len(vectors.neighbours_within(c, 5, 0.3).collect()) == 6
 
 
+def brute_labels(x, r2):
+    parent = brute_components([(i, i) for i in range(len(x))] + [(i, j) for i, j in zip(*np.nonzero(((x[:, None].astype(float) - x[None]) ** 2).sum(-1) <= r2))])
+    return [parent[i] for i in range(len(x))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cell_of_many_blocks(seed):
+    x = np.random.default_rng(seed).integers(-40, 40, (300, 2)).astype(np.float32) / 8
+    for block in (7, 64, 299, 300):
+        assert vectors.cell_labels(x, 0.125, block).tolist() == brute_labels(x, 0.125)
+
+
+def test_large_cell_keeps_links(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAF", 10**6)  # one cell
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[0], x[1] = x[4096] + 0.5 * x[7], x[4096] - 0.5 * x[7]  # linked by the first row of the second block only
+    x[10], x[4150] = np.r_[0.5, 0.25, 0.0, 1.0, [0.0] * 60], np.r_[0.25, 0.0, np.sqrt(0.3 - 0.125) + 1e-7, 1.0, [0.0] * 60]  # apart by a hair more than allowed
+    c = vectors.Collection(spark.createDataFrame([(i, v.tolist(), "x", 0) for i, v in enumerate(x)], VEC), "sequence", "vector", 64)
+    y = x.astype(np.float32).astype(float)
+    links = np.argwhere(np.triu((y * y).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * y @ y.T <= 0.3, 1))
+    want = brute_components([(int(a), int(b)) for a, b in links])
+    assert {want[i] for i in (0, 1, 4096)} == {0} and 10 not in want
+    assert {r["rep"]: r["root"] for r in vectors.similarity_groups(c, 0.3).collect()} == want
+
+
 def test_search_recall():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((6000, 64)).astype(np.float32)
