@@ -381,3 +381,18 @@ def test_screen_loses_nothing(spark):
         if not out[i]["screened"]:
             assert abs(out[i]["repeated_share"] - true) < 1e-12
     assert any(r["screened"] and r["n_words"] >= 6 for r in out.values())
+
+
+def test_screened_documents_are_measured(spark):
+    rng = random.Random(9)
+    texts = []
+    for n in range(20, 60):
+        w = rng.sample("the of and to in that for with was on are by this from have not but what all were when there can more if out so up said about than into them only other new some could time these two may then do first any my now such like our over man even most made after also did many before must through years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might great old year off come since against go came right used take three".split(), n)
+        texts.append(" ".join(w[:12] + w[3:9] + w[12:]))  # six words said twice
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in repetition.measure_repetition(df, "doc_id", "text").collect()}
+    assert any(r["screened"] for r in out.values())
+    for i, t in enumerate(texts):
+        assert out[i]["repeated_share"] == pytest.approx(brute_repeated(words(t)) / len(words(t))) and out[i]["repeated_share"] > 0
+    some = {r["doc_id"]: r["repeated_share"] for r in repetition.measure_repetition(df, "doc_id", "text", every=False).collect()}
+    assert all(some[i] == (None if r["screened"] else r["repeated_share"]) for i, r in out.items())

@@ -116,7 +116,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text").where(F.col("repeated_share") >= repetition.SHARE - 1e-9).select("doc_id")
+    return repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text", every=False).where(F.col("repeated_share") >= repetition.SHARE - 1e-9).select("doc_id")
 
 
 def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_bands(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.fertility_bands(repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text"))
+    return repetition.fertility_bands(repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text", every=False))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sanitised, p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands)}

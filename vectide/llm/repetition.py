@@ -3,7 +3,8 @@
 Words are encoded with a public vocabulary. If a share s of a document's W words is repeated, each repeated word
 brings tokens that stood there before, so of its T tokens at most T - s*W are distinct and the token entropy is
 at most log2(T - s*W). A document above that band, which depends on its own tokens per word and so on its
-language and script, can't reach the share and is rejected; this loses nothing. The others are measured exactly.
+language and script, can't reach the share and is rejected; this loses nothing. The others are measured exactly; where the share of each
+document is asked for, so are the rejected ones.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def repeated_words(codes: np.ndarray, run: int = RUN) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _measure(path: str, share: float):
+def _measure(path: str, share: float, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         number: dict[str, int] = {}
@@ -90,7 +91,7 @@ def _measure(path: str, share: float):
                 least = math.ceil(share * n - 1e-9)
                 screened = n < LEAST_WORDS or entropy > math.log2(max(total - least, 1)) + 1e-9
                 chars = sum(map(len, ws))
-                rows.append((i, _script(ws[n // 2]), n, total, chars / total, float(p[ids < 256].sum()), entropy, bool(screened), 0.0 if screened else repeated_words(codes) / n))
+                rows.append((i, _script(ws[n // 2]), n, total, chars / total, float(p[ids < 256].sum()), entropy, bool(screened), repeated_words(codes) / n if every or not screened else None))
             cols = list(zip(*rows)) if rows else [[]] * 9
             kinds_ = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds_)], ["id", "script", "n_words", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "screened", "repeated_share"])
@@ -98,14 +99,15 @@ def _measure(path: str, share: float):
     return run
 
 
-def measure_repetition(docs: DataFrame, id_col: str, text_col: str, share: float = SHARE, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+def measure_repetition(docs: DataFrame, id_col: str, text_col: str, share: float = SHARE, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", every: bool = True) -> DataFrame:
     """Per input row: script, n_words, n_tokens, chars_per_token, byte_share (of tokens that are single bytes), token_entropy (bits), screened, repeated_share.
 
     screened rows can't have the asked share of repeated words (or have under six words); their repeated_share is
-    given as 0. Null, empty and wordless texts have 0 words, null measures and are screened. Whole texts are read,
-    however long; no row is shuffled. Other columns are ignored.
+    measured like any other, or null if not every share is wanted. Null, empty and wordless texts have 0 words, null
+    measures, a share of 0 and are screened. Whole texts are read, however long; no row is shuffled. Other columns
+    are ignored.
     """
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(_measure(vocabulary, share), SCHEMA).withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(_measure(vocabulary, share, every), SCHEMA).withColumnRenamed("id", id_col)
 
 
 def fertility_bands(measured: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
