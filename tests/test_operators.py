@@ -275,3 +275,21 @@ def test_every_hub_takes_part_in_transport(spark, monkeypatch):
         at = np.array([i % 1099 == e for i in range(n)], float)
         assert abs(got[e] - statistics.sliced_wasserstein(at / at.sum(), q, c, 20)) < 1e-6, e
     assert len(got) == 1099
+
+
+@pytest.mark.parametrize("name", ["pq_search", "lsh_search"])
+def test_recall_of_approximate_searches(name, spark, sf, monkeypatch):
+    from vectide.plans import catalogue, catalogue_graph, catalogue_search
+
+    asked = [[float(x) for x in r["vector"]] for r in catalogue_graph.table(spark, sf, "anchors").orderBy("anchor_idx").collect()]
+    rows = ingested(spark, sf).select("node_id", "vector").collect()
+    ids, x = np.array([r["node_id"] for r in rows]), np.array([r["vector"] for r in rows])
+    found = []
+    for q in asked:
+        one_anchor = spark.createDataFrame([(0, q)], "anchor_idx int, vector array<double>")
+        for m in (catalogue_graph, catalogue_search):
+            monkeypatch.setattr(m, "table", lambda s, d, n: one_anchor)
+        best = set(ids[np.lexsort((ids, ((x - q) ** 2).sum(1)))[:10]].tolist())
+        found.append(len(best & {r["node_id"] for r in catalogue.QUERIES[name](spark, sf).collect()}) / 10)
+    print(name, found)
+    assert np.mean(found) >= 0.9

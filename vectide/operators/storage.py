@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectide.functions import vectors
+
 
 def delta_encode(points: DataFrame, every: int = 10, epsilon: float = 0.0) -> DataFrame:
     """entity_id, node_id, t, seq, keyframe, base_t, indices, values: every so many points a whole vector, else the components that moved by more than epsilon."""
@@ -88,6 +90,17 @@ class Codebook:
         table = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows])
         return F.aggregate(F.transform(codes, lambda c, i: table[i][c]), F.lit(0.0), lambda s, x: s + x)
 
+    def search(self, points: DataFrame, query: np.ndarray, k: int, share: float = 0.05) -> DataFrame:
+        """The k nearest points (score: squared distance, ties by node_id) among the share of them that the codes put nearest, at least 10 k.
+
+        The pool grows with the points, so that its recall doesn't fall with their number; it is found by a quantile, not collected.
+        """
+        share = min(1.0, max(share, 10 * k / max(points.count(), 1)))
+        coded = self.encode(points).withColumn("coarse", self.distance(F.col("codes"), query))
+        bound = coded.agg(F.percentile_approx("coarse", share, 10000)).first()[0]
+        pool = coded.where(F.col("coarse") <= F.lit(bound)).drop("codes", "coarse")
+        return pool.withColumn("score", vectors.l2_squared(F.col("vector"), [float(x) for x in query])).orderBy("score", "node_id").limit(k)
+
 
 def put(store: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """The store with new rows in place of old ones of the same key; of equal new keys the one with the largest remaining columns stays."""

@@ -202,9 +202,9 @@ def delta_compression(spark, d):
 @query()
 def pq_search(spark, d):
     p = ingested(spark, d)
-    book = storage.Codebook.train(p, 8, 16, 5)
+    book = storage.Codebook.train(p, 16, 64, 5)
     q = [float(x) for x in table(spark, d, "anchors").where("anchor_idx = 0").first()["vector"]]
-    return book.encode(p).withColumn("score", book.distance(F.col("codes"), q)).orderBy("score", "node_id").limit(10).select("node_id", F.round("score", 6).alias("score"))
+    return book.search(p, q, 10).select("node_id", F.round("score", 6).alias("score"))
 
 
 @query("with n as (select entity_id, t, max(sequence) + 5 as s from ingestpoint where entity_id < 50 group by 1, 2), o as (select entity_id, t, min(sequence) as s from ingestpoint group by 1, 2) select entity_id, t, coalesce(n.s, o.s) as s from o left join n using (entity_id, t) where entity_id <> 3")

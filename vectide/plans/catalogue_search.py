@@ -183,7 +183,7 @@ def decayed_knn(spark, d):
 
 @query()
 def lsh_search(spark, d):
-    p, cfg = pts.ingested(spark, d), lsh.LshConfig(tables=8, bits=6, bucket_us=30 * lsh.DAY_US, time_probes=2)
+    p, cfg = pts.ingested(spark, d), lsh.LshConfig(tables=16, bits=6, bucket_us=30 * lsh.DAY_US, time_probes=2, flips=6)
     return _out(lsh.search(p, lsh.build(p, 64, cfg), _q(spark, d), MID, 10, cfg))
 
 
