@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectide.llm import overlap, packing, pii, repetition, splits, tokens, vectors
 from vectide.llm.sql import SQL  # noqa: F401
+from vectide.operators.skew import hot_join
 from vectide.session import table
 
 
@@ -76,30 +77,36 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.clusters(_points(spark, d), NEAR)[1]
 
 
-def _split_posts(spark: SparkSession, d: str) -> DataFrame:
-    """Each post with a split once, with its text and the side it is on."""
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Linked texts and members; the least split of a post counts."""
     split = table(spark, d, "erisk_mental_embeddings").where("split is not null").groupBy("post_id").agg(F.min("split").alias("split"))
-    posts = table(spark, d, "unified").where("text is not null").select("post_id", "text").dropDuplicates(["post_id"])
-    return split.join(posts, "post_id").withColumn("side", F.when(F.col("split") == "train", "train").when(F.col("split").isin("val", "test"), "eval"))
+    sides = split.select("post_id", F.when(F.col("split") == "train", "train").when(F.col("split").isin("val", "test"), "eval").alias("side"))
+    return overlap.overlap_pairs(table(spark, d, "unified").select("post_id", "text"), "post_id", "text", "side", 0.5, 3, 20, sides)
 
 
-def _record_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs, members = overlap.overlap_pairs(_split_posts(spark, d), "post_id", "text", "side", 0.5, 3, 20)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = _overlaps(spark, d)
     train = members.where("side = 'train'").select(F.col("key").alias("key_train"), F.col("id").alias("train_id"))
     held = members.where("side = 'eval'").select(F.col("key").alias("key_eval"), F.col("id").alias("eval_id"))
-    return pairs.join(train, "key_train").join(held, "key_eval").select("train_id", "eval_id", "similarity")
-
-
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _record_pairs(spark, d).select(F.least("train_id", "eval_id").alias("post_id_a"), F.greatest("train_id", "eval_id").alias("post_id_b"))
+    each = pairs.join(train, "key_train").join(held, "key_eval")
+    return each.select(F.least("train_id", "eval_id").alias("post_id_a"), F.greatest("train_id", "eval_id").alias("post_id_b"))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per evaluation split and source: posts that overlap with a train post, and how many pairs, exact ones among them."""
-    where = table(spark, d, "erisk_mental_embeddings").where("split in ('val', 'test')").groupBy("post_id").agg(F.min("split").alias("split"))
+    """Per evaluation split and source: posts that overlap with a train post, and how many pairs, exact ones among them.
+
+    Pairs of records are counted, not listed: an evaluation text has as many as its linked training texts have members.
+    """
+    pairs, members = _overlaps(spark, d)
+    copies = members.where("side = 'train'").groupBy(F.col("key").alias("key_train")).agg(F.count(F.lit(1)).alias("n"))
+    same = F.when(F.col("similarity") == 1.0, F.col("n")).otherwise(0)
+    per_text = pairs.join(copies, "key_train").groupBy(F.col("key_eval").alias("key")).agg(F.sum("n").alias("pairs"), F.sum(same).alias("same"))
+    held = members.where("side = 'eval'")
+    sized = per_text.join(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    per_post = hot_join(held.select("key", F.col("id").alias("post_id")), sized, "key", "n", held.count())
+    where = table(spark, d, "erisk_mental_embeddings").where("split is not null").groupBy("post_id").agg(F.min("split").alias("split"))
     source = table(spark, d, "unified").groupBy("post_id").agg(F.min("source").alias("source"))
-    per_post = _record_pairs(spark, d).groupBy(F.col("eval_id").alias("post_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("similarity") == 1.0).alias("same"))
-    return per_post.join(where, "post_id").join(source, "post_id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_posts"), F.sum("n").alias("n_pairs"), F.sum("same").alias("n_equal_pairs"))
+    return per_post.join(where, "post_id").join(source, "post_id").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_posts"), F.sum("pairs").alias("n_pairs"), F.sum("same").alias("n_equal_pairs"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
