@@ -58,7 +58,7 @@ class Online:
         self.count = self.since = 0
 
     def observe(self, v: np.ndarray) -> tuple[float, np.ndarray] | None:
-        """Severity and drift where the new vector is off by more than threshold deviations (taken before the update)."""
+        """Severity, 1 - exp(-size of the drift), and drift of the running mean since the last hit, where the new vector is off by more than threshold deviations (taken before the update)."""
         if self.mean is None or self.var is None or self.anchor is None:
             self.mean, self.var, self.anchor = v.copy(), np.ones_like(v), v.copy()
             self.count = self.since = 1
@@ -73,7 +73,7 @@ class Online:
         if self.count > self.wait and self.since >= self.wait and score > self.threshold:
             drift = self.mean - self.anchor
             self.anchor, self.since = self.mean.copy(), 0
-            return 1 - math.exp(-score / self.threshold), drift
+            return 1 - math.exp(-float(np.linalg.norm(drift))), drift
         return None
 
 

@@ -33,29 +33,34 @@ def window_distance(x: np.ndarray, i: int, j: int, w: int) -> float:
     return float(np.sqrt(((x[i : i + w] - x[j : j + w]) ** 2).sum() / w))
 
 
+def window_distances(x: np.ndarray, i: int, w: int) -> np.ndarray:
+    """Distance of window i to every window."""
+    n = len(x) - w + 1
+    return np.sqrt(sum(((x[k : k + n] - x[i + k]) ** 2).sum(1) for k in range(w)) / w)
+
+
 def motifs(x: np.ndarray, w: int, most: int = 5, exclusion: float = 0.5) -> list[dict]:
-    """Recurring windows, best first: canonical place, occurrences (place, distance), period, mean distance (the canonical window's own 0 counts)."""
+    """Recurring windows, best first: canonical place, occurrences (place, distance), period, mean distance (the canonical window's own 0 counts).
+
+    Further occurrences lie within twice the best distance and keep clear of the candidate and its neighbour, not of
+    each other; places near an occurrence give no candidate any more.
+    """
     profile, place = matrix_profile(x, w, exclusion)
-    zone = max(1, math.ceil(w * exclusion))
-    used = np.zeros(len(profile), bool)
+    n, zone = len(profile), max(1, math.ceil(w * exclusion))
+    used = np.zeros(n, bool)
     out: list[dict] = []
-    for i in np.argsort(profile, kind="stable"):
+    for i in map(int, np.argsort(profile, kind="stable")):
         if len(out) >= most or not np.isfinite(profile[i]):
             break
-        j = int(place[i])
-        if used[i] or j < 0 or used[j]:
+        if used[i]:
             continue
-        limit = max(2 * profile[i], 1e-6)
-        found = [(int(i), 0.0), (j, float(profile[i]))]
-        for k in range(len(profile)):
-            if not used[k] and all(abs(k - o) >= zone for o, _ in found):
-                d = window_distance(x, int(i), k, w)
-                if d <= limit:
-                    found.append((k, d))
-        found.sort()
+        j, limit, at = int(place[i]), max(2 * profile[i], 1e-6), np.arange(n)
+        free = np.flatnonzero((np.abs(at - i) >= zone) & (np.abs(at - j) >= zone))
+        d = window_distances(x, i, w)[free]
+        found = sorted([(i, 0.0), (j, float(profile[i])), *((int(k), float(v)) for k, v in zip(free[d <= limit], d[d <= limit]))])
         for o, _ in found:
-            used[max(0, o - zone + 1) : o + zone] = True
-        out.append({"canonical": int(i), "occurrences": found, "period": period([o for o, _ in found]), "mean_distance": float(np.mean([d for _, d in found]))})
+            used[max(0, o - zone) : o + zone] = True
+        out.append({"canonical": i, "occurrences": found, "period": period([o for o, _ in found]), "mean_distance": float(np.mean([d for _, d in found]))})
     return out
 
 
@@ -69,15 +74,15 @@ def period(places: list[int]) -> int | None:
 
 
 def discords(x: np.ndarray, w: int, most: int = 5, exclusion: float = 0.5) -> list[tuple[int, float]]:
-    """Windows farthest from any other, no two within the exclusion zone."""
+    """Windows farthest from any other; none begins from zone before one already found to zone - 1 after it."""
     profile, _ = matrix_profile(x, w, exclusion)
     zone = max(1, math.ceil(w * exclusion))
     out: list[tuple[int, float]] = []
-    for i in np.argsort(-profile, kind="stable"):
+    for i in map(int, np.argsort(-profile, kind="stable")):
         if len(out) >= most:
             break
-        if np.isfinite(profile[i]) and all(abs(int(i) - o) >= zone for o, _ in out):
-            out.append((int(i), float(profile[i])))
+        if np.isfinite(profile[i]) and not any(o - zone <= i < o + zone for o, _ in out):
+            out.append((i, float(profile[i])))
     return out
 
 

@@ -65,38 +65,53 @@ def _rss(y: np.ndarray, x: np.ndarray) -> float:
     return float(r @ r)
 
 
-def granger(a: np.ndarray, b: np.ndarray, lags: int = 5) -> dict:
-    """Does a's past help to foretell b? Best lag, F, p and effect size over dimensions; lag 1, F 0, p 1 if the series are too short.
+def lag_p(f: float, lag: int, df: int, exact: bool = True) -> float:
+    """Chance of an F this large for a lag. Not exact: the beta function divided once more by its leading parameter, which makes nearly everything significant; only to reproduce figures of engines that do so."""
+    if exact or f <= 0:
+        return f_tail(f, lag, df)
+    a, b, x = df / 2, lag / 2, df / (df + lag * f)
+    return beta_inc(a, b, x) / a if x <= (a + 1) / (a + b + 2) else 1 - beta_inc(b, a, 1 - x) / b
 
-    For each lag and dimension b's own past is compared with both pasts (no intercept, a small ridge).
+
+def granger(a: np.ndarray, b: np.ndarray, lags: int = 5, exact: bool = True) -> dict:
+    """Does a's past help to foretell b? The lag of the least combined p, its mean F, p, effect size and F per dimension; lag 1, F 0, p 1 if no lag tells anything.
+
+    For each lag and dimension b's own past is compared with both pasts (no intercept, a small ridge). The effect is
+    the share of b's residuals, summed over dimensions, that a's past takes away.
     """
-    best = {"lag": 1, "f": 0.0, "p": 1.0, "effect": 0.0, "per_dimension": []}
     n, dim = b.shape
-    for lag in range(1, lags + 1):
-        m = n - lag
-        if m <= 2 * lag + 1:
-            break
-        fs, ps, effects = [], [], []
+    best = {"lag": 1, "f": 0.0, "p": 1.0, "effect": 0.0, "per_dimension": [0.0] * dim}
+    for lag in range(1, min(lags, n - 1) + 1):
+        m, fs, ps, rest = n - lag, [], [], [0.0, 0.0]
+        df = m - 2 * lag
         for k in range(dim):
             y = b[lag:, k]
             own = np.column_stack([b[lag - i : n - i, k] for i in range(1, lag + 1)])
             both = np.column_stack([own, *[a[lag - i : n - i, k] for i in range(1, lag + 1)]])
             r0, r1 = _rss(y, own), _rss(y, both)
-            df = m - 2 * lag
-            f = max(0.0, (r0 - r1) / lag / (r1 / df)) if r1 > 1e-15 else 0.0
-            fs.append(f), ps.append(f_tail(f, lag, df)), effects.append(max(0.0, 1 - r1 / r0) if r0 > 1e-15 else 0.0)
+            f = max(0.0, (r0 - r1) / lag / (r1 / df)) if df > 0 and r1 > 0 else 0.0
+            fs.append(f), ps.append(lag_p(f, lag, max(df, 1), exact))
+            rest = [rest[0] + r0, rest[1] + r1]
         p = fisher(ps)
         if p < best["p"]:
-            best = {"lag": lag, "f": float(np.mean(fs)), "p": p, "effect": float(np.mean(effects)), "per_dimension": fs}
+            best = {"lag": lag, "f": float(np.mean(fs)), "p": p, "effect": max(0.0, (rest[0] - rest[1]) / rest[0]) if rest[0] > 0 else 0.0, "per_dimension": fs}
     return best
 
 
-def causality(a: np.ndarray, b: np.ndarray, lags: int = 5, significance: float = 0.05) -> dict:
-    """Both directions: a_to_b, b_to_a, bidirectional or none, with the figures of the stronger one."""
-    ab, ba = granger(a, b, lags), granger(b, a, lags)
+def reading(ab: dict, ba: dict, significance: float = 0.05) -> dict:
+    """Of granger's two directions: a_to_b, b_to_a, bidirectional (lag of the lesser p, the larger F and effect) or none (lag 1, F 0, p 1, effect 0)."""
     x, y = ab["p"] < significance, ba["p"] < significance
-    lead = ab if ab["p"] <= ba["p"] else ba
-    return {"direction": "bidirectional" if x and y else "a_to_b" if x else "b_to_a" if y else "none", "lag": lead["lag"], "f": lead["f"], "p": lead["p"], "effect": lead["effect"]}
+    if not x and not y:
+        return {"direction": "none", "lag": 1, "f": 0.0, "p": 1.0, "effect": 0.0}
+    if x and y:
+        lead = ab if ab["p"] < ba["p"] else ba
+        return {"direction": "bidirectional", "lag": lead["lag"], "f": max(ab["f"], ba["f"]), "p": lead["p"], "effect": max(ab["effect"], ba["effect"])}
+    lead = ab if x else ba
+    return {"direction": "a_to_b" if x else "b_to_a", **{k: lead[k] for k in ("lag", "f", "p", "effect")}}
+
+
+def causality(a: np.ndarray, b: np.ndarray, lags: int = 5, significance: float = 0.05) -> dict:
+    return reading(granger(a, b, lags), granger(b, a, lags), significance)
 
 
 def align(ta: np.ndarray, a: np.ndarray, tb: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,28 +149,38 @@ def sliced_wasserstein(p: np.ndarray, q: np.ndarray, centres: np.ndarray, n: int
 
 
 def principal_plane(x: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Coordinates on the first two principal axes by power iteration with deflation; signs follow the start vectors."""
+    """Coordinates on the first two principal axes by power iteration.
+
+    An axis and its sign follow from where the iteration starts: the first one at the first centred row (the first
+    unit vector if that is zero), the second one at the second centred row, made orthogonal to the first axis (if
+    nothing is left, at the first unit vector of which something is). Axes are not turned afterwards.
+    """
     c = x - x.mean(0)
-    cov = c.T @ c / max(len(x) - 1, 1)
-    axes = []
-    for k in range(min(2, x.shape[1])):
-        v = np.zeros(x.shape[1])
-        v[k % x.shape[1]] = 1.0
-        v += 1e-3
-        v /= np.linalg.norm(v)
+    n, dim = c.shape
+    unit = np.eye(dim)
+
+    def axis(start: np.ndarray, against: np.ndarray | None) -> np.ndarray:
+        v = start / np.linalg.norm(start)
         for _ in range(rounds):
-            w = cov @ v
+            w = c.T @ (c @ v)
+            if against is not None:
+                w -= (w @ against) * against
             size = np.linalg.norm(w)
-            if size < 1e-15:
+            if size < 1e-10:
                 break
             w /= size
-            done = np.abs(w - v).max() < 1e-10
+            done = np.linalg.norm(w - v) < 1e-10
             v = w
             if done:
                 break
-        axes.append(v)
-        cov = cov - (v @ cov @ v) * np.outer(v, v)
-    return c @ np.column_stack(axes)
+        return v
+
+    first = axis(c[0] if n and c[0].any() else unit[0], None)
+    left = lambda u: u - (u @ first) * first
+    starts = [left(u) for u in ([c[1]] if n > 1 else []) + list(unit)]
+    start = next((u for u in starts if np.linalg.norm(u) > 1e-10), None)
+    second = np.zeros(dim) if start is None else axis(start, first)
+    return c @ np.column_stack([first, second])
 
 
 # fixed values: the Dormand-Prince coefficients

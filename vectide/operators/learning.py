@@ -16,14 +16,21 @@ def transitions(episodes: DataFrame) -> DataFrame:
     return counts.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy("region", "action")))
 
 
-def region_quality(episodes: DataFrame) -> DataFrame:
-    """region, quality, decay: mean reward over all visits, and 0.70 + 0.25 * quality."""
-    return episodes.groupBy("region").agg(F.coalesce(F.avg("reward"), F.lit(0.5)).alias("quality")).withColumn("decay", 0.70 + 0.25 * F.col("quality"))
+def region_quality(episodes: DataFrame, distinct: bool = False) -> DataFrame:
+    """region, quality, decay: mean reward over all visits (or, if distinct, once per episode, whose reward is that of its first visit), and 0.70 + 0.25 * quality; no visit with a reward gives 0.5."""
+    visits = episodes.groupBy("region", "episode_id").agg(F.min_by("reward", "step").alias("reward")) if distinct else episodes
+    return visits.groupBy("region").agg(F.coalesce(F.avg("reward"), F.lit(0.5)).alias("quality")).withColumn("decay", 0.70 + 0.25 * F.col("quality"))
+
+
+def moves(episodes: DataFrame) -> DataFrame:
+    """The steps of episodes but for the last one of each, which leads nowhere."""
+    w = Window.partitionBy("episode_id").orderBy("step")
+    return episodes.withColumn("__next", F.lead(F.lit(1)).over(w)).where("__next = 1").drop("__next")
 
 
 def action_success(episodes: DataFrame) -> DataFrame:
-    """region, action, n, success: (1 + rewards above 0.5) / (2 + n), best first within a region by rank (ties by action)."""
-    s = episodes.where("action is not null and reward is not null").groupBy("region", "action").agg(F.count(F.lit(1)).alias("n"), ((1 + F.count_if(F.col("reward") > 0.5)) / (2 + F.count(F.lit(1)))).alias("success"))
+    """region, action, n, success: (1 + rewards above 0.5) / (2 + n) over all steps but an episode's last, best first within a region by rank (ties by action)."""
+    s = moves(episodes).where("action is not null and reward is not null").groupBy("region", "action").agg(F.count(F.lit(1)).alias("n"), ((1 + F.count_if(F.col("reward") > 0.5)) / (2 + F.count(F.lit(1)))).alias("success"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(F.desc("success"), "action")))
 
 
@@ -35,8 +42,14 @@ def success_or_default(episodes: DataFrame, asked: DataFrame) -> DataFrame:
 def hints(episodes: DataFrame, most: int = 3) -> DataFrame:
     """region, hint: its best actions with their success, as text."""
     best = action_success(episodes).where(F.col("rank") <= most)
-    line = F.format_string("%s (%.0f%%)", "action", F.col("success") * 100)
-    return best.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("s")))).alias("x")).select("region", F.concat_ws(", ", F.transform("x", lambda s: s["s"])).alias("hint"))
+    line = F.concat("action", F.lit("("), F.format_string("%.0f", F.col("success") * 100), F.lit("%)"))
+    return best.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("s")))).alias("x")).select("region", F.concat(F.lit("Action success rates: "), F.concat_ws(", ", F.transform("x", lambda s: s["s"]))).alias("hint"))
+
+
+def mdp_stats(episodes: DataFrame) -> DataFrame:
+    """One row: n_transitions, n_state_actions, n_regions."""
+    m = moves(episodes).where("action is not null").agg(F.count(F.lit(1)).alias("n_transitions"), F.count_distinct("region", "action").alias("n_state_actions"))
+    return m.crossJoin(F.broadcast(episodes.agg(F.count_distinct("region").alias("n_regions"))))  # one row each
 
 
 class Network:

@@ -102,25 +102,25 @@ def topology(points: DataFrame, radii: int = 20, threshold: float = 0.0) -> Data
 def plane(points: DataFrame) -> DataFrame:
     """entity_id, t, x, y: each trajectory on its own first two principal axes."""
     def kernel(t, x):
-        return [] if len(x) < 2 else [(int(a), float(p[0]), float(p[1]) if len(p) > 1 else 0.0) for a, p in zip(t, statistics.principal_plane(x))]
+        return [] if len(x) < 2 else [(int(a), float(p[0]), float(p[1])) for a, p in zip(t, statistics.principal_plane(x))]
 
     return per_entity(points, kernel, "t long, x double, y double")
 
 
 def temporal_features(points: DataFrame, scales: Sequence[int] = (1_000_000, 10_000_000, 100_000_000)) -> DataFrame:
-    """entity_id, features: mean velocity per dimension (per second), drift first to last, volatility per dimension, soft change count, mean drift per scale; 2 D + 2 + S numbers."""
+    """entity_id, features: mean velocity per dimension (last less first over the whole time, per µs), drift first to last, volatility per dimension (sample deviation of step rates per µs, 0 under three points), soft change count, mean drift per scale; 2 D + 2 + S numbers. A time of 0 counts as 1 µs."""
     def kernel(t, x):
         if len(x) < 2:
             return []
-        dt = np.maximum(np.diff(t), 1)[:, None] / 1e6
-        v = np.diff(x, axis=0) / dt
+        v = np.diff(x, axis=0) / np.maximum(np.diff(t), 1)[:, None]
+        mean = (x[-1] - x[0]) / max(int(t[-1] - t[0]), 1)
         drift = []
         for s in scales:
             b = (t - t[0]) // s
             last = x[np.r_[np.flatnonzero(b[1:] != b[:-1]), len(b) - 1]]
             drift.append(float(np.linalg.norm(np.diff(last, axis=0), axis=1).mean()) if len(last) > 1 else 0.0)
         vol = v.std(0, ddof=1) if len(v) > 1 else np.zeros(x.shape[1])
-        return [([*v.mean(0).tolist(), float(np.linalg.norm(x[-1] - x[0])), *vol.tolist(), float(changes.soft_changes(x)), *drift],)]
+        return [([*mean.tolist(), float(np.linalg.norm(x[-1] - x[0])), *vol.tolist(), float(changes.soft_changes(x)), *drift],)]
 
     return per_entity(points, kernel, "features array<double>")
 
@@ -146,13 +146,17 @@ def frechet(points: DataFrame, pairs: DataFrame) -> DataFrame:
     return _pairs(points, pairs, lambda ta, a, tb, b: [(patterns.frechet(a, b),)], "distance double")
 
 
-def granger(points: DataFrame, pairs: DataFrame, lags: int = 5, significance: float = 0.05) -> DataFrame:
-    """a, b, direction, lag, f, p, effect after both are brought to the times of the longer one."""
+def granger(points: DataFrame, pairs: DataFrame, lags: int = 5, significance: float = 0.05, exact: bool = True) -> DataFrame:
+    """a, b, direction, lag, f, p, effect, per_dimension_a_to_b, per_dimension_b_to_a (F values) after both are brought to the times of the longer one; no row for fewer than three points on a side or lags + 3 times."""
     def kernel(ta, a, tb, b):
-        r = statistics.causality(*statistics.align(ta, a, tb, b), lags, significance)
-        return [(r["direction"], r["lag"], r["f"], r["p"], r["effect"])]
+        if min(len(ta), len(tb)) < 3 or max(len(ta), len(tb)) < lags + 3:
+            return []
+        a, b = statistics.align(ta, a, tb, b)
+        ab, ba = statistics.granger(a, b, lags, exact), statistics.granger(b, a, lags, exact)
+        r = statistics.reading(ab, ba, significance)
+        return [(r["direction"], r["lag"], r["f"], r["p"], r["effect"], ab["per_dimension"], ba["per_dimension"])]
 
-    return _pairs(points, pairs, kernel, "direction string, lag int, f double, p double, effect double")
+    return _pairs(points, pairs, kernel, "direction string, lag int, f double, p double, effect double, per_dimension_a_to_b array<double>, per_dimension_b_to_a array<double>")
 
 
 def group_temporal_join(points: DataFrame, epsilon: float, least_entities: int, window_us: int) -> DataFrame:

@@ -22,13 +22,27 @@ def hubs(points: DataFrame, level: int, m: int = 16) -> DataFrame:
 def assign(points: DataFrame, hub_table: DataFrame) -> DataFrame:
     """points with the nearest hub (squared L2, ties to the lower id) and its distance.
 
-    Hubs are counted first; up to MOST_HUBS of them travel with the tasks and are met by one matrix product per
-    batch. More are refused: choose a higher level.
+    Hubs travel with the tasks in blocks of at most MOST_HUBS and are met by one matrix product per batch; where a
+    level has more, points meet one block after the other and keep the best. No hub gives no row.
     """
     n = hub_table.count()
-    if n > MOST_HUBS:
-        raise ValueError(f"{n} hubs; at most {MOST_HUBS} can be sent to every task")
-    rows = hub_table.orderBy("hub").collect()
+    numbered = hub_table.withColumn("block", F.pmod(F.xxhash64("hub"), F.lit(max(1, -(-n // (MOST_HUBS // 2))))))
+    blocks = range(max(1, -(-n // (MOST_HUBS // 2))))
+    found = [_nearest_hub(points, numbered.where(F.col("block") == i)) for i in blocks]
+    if len(found) == 1:
+        return points.join(found[0], "node_id")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy("node_id").agg(F.min(F.struct("hub_distance", "hub")).alias("x")).select("node_id", "x.hub", "x.hub_distance")
+    return points.join(best, "node_id")
+
+
+def _nearest_hub(points: DataFrame, hub_table: DataFrame) -> DataFrame:
+    """node_id, hub, hub_distance over one block of hubs; more than MOST_HUBS are refused."""
+    rows = hub_table.select("hub", "hub_vector").orderBy("hub").limit(MOST_HUBS + 1).collect()
+    if len(rows) > MOST_HUBS:
+        raise ValueError(f"a block of hubs holds more than {MOST_HUBS}")
     ids, h = np.array([r["hub"] for r in rows], np.int64), np.array([r["hub_vector"] for r in rows], float)
     shared = points.sparkSession.sparkContext.broadcast((ids, h))
 
@@ -43,8 +57,7 @@ def assign(points: DataFrame, hub_table: DataFrame) -> DataFrame:
                 exact = ((x - h[at]) ** 2).sum(1)
                 yield pd.DataFrame({"node_id": pdf["node_id"], "hub": ids[at], "hub_distance": exact})
 
-    found = points.select("node_id", "vector").mapInPandas(near, "node_id long, hub long, hub_distance double")
-    return points.join(found, "node_id")
+    return points.select("node_id", "vector").mapInPandas(near, "node_id long, hub long, hub_distance double")
 
 
 def region_counts(assigned: DataFrame, hub_table: DataFrame) -> DataFrame:
@@ -83,10 +96,19 @@ def project_to_anchors(points: DataFrame, anchors: Sequence[Sequence[float]], me
 
 
 def anchor_summary(projected: DataFrame) -> DataFrame:
-    """entity_id, anchor, mean, min, trend (slope against place, not time), last."""
+    """entity_id, anchor, mean, min, trend (slope against place, not time), last; a point stays one row until its numbers are summed."""
     w = Window.partitionBy("entity_id").orderBy("t", "node_id")
-    long = projected.withColumn("i", F.row_number().over(w)).select("entity_id", "i", F.posexplode("dist").alias("anchor", "d"))
-    return long.groupBy("entity_id", "anchor").agg(F.avg("d").alias("mean"), F.min("d").alias("min"), F.coalesce(F.regr_slope("d", "i"), F.lit(0.0)).alias("trend"), F.max_by("d", "i").alias("last"))
+    n = max((len(r["dist"]) for r in projected.select("dist").head(1)), default=0)  # every point has as many anchors
+    d = lambda k: F.col("dist")[k]
+    placed = projected.select("entity_id", "dist", F.row_number().over(w).alias("i"))
+    one = lambda k: F.struct(F.lit(k).alias("anchor"), F.avg(d(k)).alias("mean"), F.min(d(k)).alias("min"), F.coalesce(F.regr_slope(d(k), F.col("i")), F.lit(0.0)).alias("trend"), F.max_by(d(k), "i").alias("last"))
+    kinds = F.array(*[one(k) for k in range(n)]) if n else F.array().cast("array<struct<anchor:int,mean:double,min:double,trend:double,last:double>>")
+    return placed.groupBy("entity_id").agg(kinds.alias("x")).select("entity_id", F.explode("x").alias("x")).select("entity_id", "x.*")
+
+
+def centred_summary(points: DataFrame, anchors: Sequence[Sequence[float]], centre: Sequence[float]) -> DataFrame:
+    """anchor_summary after subtracting the centre from points and anchors."""
+    return anchor_summary(centred_projection(points, anchors, centre))
 
 
 def anchor_drift(projected: DataFrame, t1: int, t2: int) -> DataFrame:
@@ -115,6 +137,12 @@ def anchor_points(points: DataFrame, anchors: Sequence[Sequence[float]], model:
     return p.withColumn("vector", F.col("dist")).drop("dist").withColumn("source_model", F.lit(model))
 
 
+def trajectories_by_model(anchored: DataFrame) -> DataFrame:
+    """entity_id, source_model, place (from 1, in order of time), t, node_id, vector: each entity's path in anchor space, one per model."""
+    w = Window.partitionBy("entity_id", "source_model").orderBy("t", "node_id")
+    return anchored.select("entity_id", "source_model", F.row_number().over(w).alias("place"), "t", "node_id", "vector")
+
+
 def by_model(anchored: DataFrame) -> DataFrame:
     """entity_id, source_model, first_t, last_t, n_points over anchored points of several models."""
     return anchored.groupBy("entity_id", "source_model").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n_points"))

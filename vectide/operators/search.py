@@ -62,14 +62,15 @@ def nearest(points: DataFrame, spec: SearchSpec, collection: DataFrame | None =
     return scored.orderBy("score", "node_id").limit(spec.k)
 
 
-def scored_search(points: DataFrame, spec: SearchSpec, weights: scoring.Weights, success: DataFrame | None = None, region: Column | None = None) -> DataFrame:
+def scored_search(points: DataFrame, spec: SearchSpec, weights: scoring.Weights, success: DataFrame | None = None, region: Column | None = None, key: str = "node_id") -> DataFrame:
     """The 4k nearest, scored by a weighted sum of similarity, recency, reward, success and region match; then the k best.
 
-    success: node_id, success_score (0.5 where missing). region: a boolean column, whether the point is in the query's region.
+    success: key (node_id or entity_id), success_score (0.5 where missing); only the pool's rows of it are read on. region: a
+    boolean column, whether the point is in the query's region.
     """
     pool = nearest(points, SearchSpec(spec.vector, 4 * spec.k, spec.when, 1.0, spec.query_t, spec.metric)).drop("temporal_distance", "score")
     pool = pool.crossJoin(_span(points))
-    pool = pool.join(success, "node_id", "left") if success is not None else pool.withColumn("success_score", F.lit(0.5))
+    pool = F.broadcast(pool).join(success.join(F.broadcast(pool.select(key).distinct()), key, "left_semi"), key, "left") if success is not None else pool.withColumn("success_score", F.lit(0.5))
     recency = scoring.recency_penalty(F.col("t"), F.col("last_t"), F.col("span_t"), 1.0)
     score = weights.score(scoring.semantic_share(F.col("semantic_distance")), recency, F.col("reward"), F.coalesce("success_score", F.lit(0.5)), region if region is not None else F.lit(False))
     return pool.withColumn("recency", recency).withColumn("score", score).drop("last_t", "span_t").orderBy("score", "node_id").limit(spec.k)
@@ -84,7 +85,8 @@ def with_steps(points: DataFrame) -> DataFrame:
 def hybrid_search(points: DataFrame, spec: SearchSpec) -> DataFrame:
     """Nearest points and their temporal neighbours (within the filter), scored alike, the k best; the composite is not normalised."""
     seeds = nearest(points, SearchSpec(spec.vector, spec.k, spec.when, metric=spec.metric)).select("node_id")
-    steps = with_steps(points).select("node_id", "before", "after")
+    line = points.join(F.broadcast(points.join(F.broadcast(seeds), "node_id", "left_semi").select("entity_id").distinct()), "entity_id", "left_semi")
+    steps = with_steps(line).select("node_id", "before", "after")
     near = steps.join(F.broadcast(seeds), "node_id").select(F.explode(F.array("node_id", "before", "after")).alias("node_id")).where("node_id is not null").distinct()
     return nearest(points.join(F.broadcast(near), "node_id", "left_semi"), SearchSpec(spec.vector, spec.k, spec.when, spec.alpha, spec.query_t, spec.metric, normalised=False), points)
 
@@ -103,39 +105,62 @@ def causal_search(points: DataFrame, spec: SearchSpec, context: int) -> DataFram
     return F.broadcast(at).join(others, "entity_id").where((F.abs(offset) <= context) & (offset != 0)).select("node_id", "score", "entity_id", offset.alias("offset"), "other_id", "other_t")
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k least scores, ties by id; only the rows up to the k-th value are sorted."""
-    at = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else np.arange(len(score))
-    return at[np.lexsort((ids[at], score[at]))[:k]]
-
-
 def batch_nearest(points: DataFrame, queries: Sequence[Sequence[float]], k: int, metric: str = "l2") -> DataFrame:
-    """query, node_id, score for many queries at once: one matrix product per batch of rows, k rows per query and partition travel on."""
+    """query, node_id, score for many queries at once: one matrix product per batch of rows, k rows per query and partition travel on.
+
+    A product in single precision tells which pairs may be among a query's k best; only those are settled in double.
+    """
     if len(queries) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once; larger sets belong in a table, see llm.vectors.nearest_of")
-    q = np.asarray(queries, np.float64)
+        raise ValueError(f"at most {MOST_QUERIES} queries at once; larger sets belong in a table and in a join")
+    q = np.asarray(queries, np.float64).reshape(len(queries), -1)
+
+    def exact(i: np.ndarray, x: np.ndarray) -> np.ndarray:
+        a = q[i]
+        if metric == "l2":
+            return ((a - x) ** 2).sum(1)
+        p = (a * x).sum(1)
+        if metric == "dot":
+            return -p
+        s = np.sqrt((a * a).sum(1)) * np.sqrt((x * x).sum(1))
+        return np.where(s < vectors.TINY, 1.0, 1 - np.clip(p / np.maximum(s, 1e-300), -1, 1))
+
+    def settled(i: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query, in order."""
+        order = np.lexsort((ids, d, i))
+        i, ids, d = i[order], ids[order], d[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        return i[place < k], ids[place < k], d[place < k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, dist = np.zeros(0, np.int64), np.zeros((len(q), 0))
-        nq = (q * q).sum(1)
+        size = np.linalg.norm(q, axis=1)
+        unit = q / np.maximum(size, 1e-300)[:, None] if metric == "cosine" else q
+        q32, nq = unit.astype(np.float32), (size * size).astype(np.float32)[:, None]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        limit = np.full(len(q), np.inf)
         for b in batches:
-            x = np.stack(b.column(1).to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, q.shape[1]))
-            p = q @ x.T
-            nx = (x * x).sum(1)
-            if metric == "l2":
-                d = np.maximum(nq[:, None] + nx[None] - 2 * p, 0)
-            elif metric == "dot":
-                d = -p
-            else:
-                s = np.sqrt(nq)[:, None] * np.sqrt(nx)[None]
-                d = np.where(s < vectors.TINY, 1.0, 1 - np.clip(p / np.maximum(s, 1e-300), -1, 1))
-            ids, dist = np.concatenate([ids, b.column(0).to_numpy()]), np.concatenate([dist, d], 1)
-            if len(ids) > 4 * k + 4096:
-                keep = np.unique(np.concatenate([_best(r, ids, k) for r in dist]))
-                ids, dist = ids[keep], dist[:, keep]
-        for i, r in enumerate(dist):
-            best = _best(r, ids, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), i, np.int32)), pa.array(ids[best]), pa.array(r[best])], ["query", "node_id", "score"])
+            for start in range(0, b.num_rows if len(q) and k > 0 else 0, 4096):
+                part = b.slice(start, 4096)
+                ids, x = part.column(0).to_numpy(), np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                nx = np.linalg.norm(x, axis=1)
+                x32 = (x / np.maximum(nx, 1e-300)[:, None] if metric == "cosine" else x).astype(np.float32)
+                d = q32 @ x32.T
+                if metric == "l2":
+                    d *= -2
+                    d += nq
+                    d += (nx * nx).astype(np.float32)
+                else:
+                    np.subtract(np.float32(metric == "cosine"), d, out=d)
+                    if metric == "cosine":
+                        d[:, nx < vectors.TINY], d[size < vectors.TINY] = 1, 1
+                off = 1e-5 * (1 if metric == "cosine" else (size.max() + nx.max()) ** 2)
+                if not np.isfinite(limit).all():
+                    first = min(k, d.shape[1]) - 1
+                    limit = np.minimum(limit, np.partition(d, first, axis=1)[:, first] + 2 * off if first == k - 1 else np.inf)
+                i, j = np.nonzero(d <= (limit + off)[:, None].astype(np.float32))
+                best = settled(np.r_[best[0], i], np.r_[best[1], ids[j]], np.r_[best[2], exact(i, x[j])])
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) == k)
+                limit[full] = best[2][np.searchsorted(best[0], full, side="right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(best[0].astype(np.int32)), pa.array(best[1]), pa.array(best[2])], ["query", "node_id", "score"])
 
     part = points.select("node_id", "vector").mapInArrow(run, "query int, node_id long, score double")
     w = Window.partitionBy("query").orderBy("score", "node_id")
@@ -175,22 +200,18 @@ def nearest_over(parts: Sequence[DataFrame], spec: SearchSpec) -> DataFrame:
 
 
 def diverse(ranked: DataFrame, k: int) -> DataFrame:
-    """Of few candidates (node_id, score, vector) those that are nearer to the query than to any chosen before, best first, at most k.
+    """Of candidates (node_id, score, vector) those that are nearer to the query than to any chosen before, best first, at most k.
 
-    The rule is sequential, so candidates are bounded: the MOST_QUERIES best are looked at in one task.
+    Each choice is one top-1 over the candidates that no earlier choice has shut out, so there may be any number of them.
     """
-    import pandas as pd
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["score", "node_id"])
-        taken: list[int] = []
-        x = np.stack(pdf["vector"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
-        for i, s in enumerate(pdf["score"]):
-            if len(taken) < k and all(((x[i] - x[j]) ** 2).sum() > s for j in taken):
-                taken.append(i)
-        yield pdf.iloc[taken][["node_id", "score"]]
-
-    return ranked.orderBy("score", "node_id").limit(MOST_QUERIES).select("node_id", "score", "vector").coalesce(1).mapInPandas(choose, "node_id long, score double")
+    spark, left, chosen = ranked.sparkSession, ranked.select("node_id", "score", "vector"), []
+    while len(chosen) < k:
+        top = left.orderBy("score", "node_id").limit(1).collect()
+        if not top:
+            break
+        chosen.append((top[0]["node_id"], top[0]["score"]))
+        left = left.where((F.col("node_id") != top[0]["node_id"]) & (vectors.l2_squared("vector", [float(x) for x in top[0]["vector"]]) > F.col("score")))
+    return spark.createDataFrame(chosen, "node_id long, score double")
 
 
 def active_neighbours(primary: Column, backup: Column, expired: Column, most: int) -> Column:

@@ -179,29 +179,38 @@ def timelines(points: DataFrame) -> DataFrame:
 
 
 def post_features(points: DataFrame) -> DataFrame:
-    """Per point: days since the entity's first one, seconds since the one before (0 for the first), its log1p, index from 0, hour of day (UTC)."""
+    """Per point: its place in the entity's span, from 0 to 1 (a span of 0 counts as a second), seconds since the one before (0 for the first), its log1p, index from 0, hour of day (UTC)."""
     gap = F.coalesce((F.col("t") - F.lag("t").over(W())) / 1e6, F.lit(0.0))
-    return points.select("entity_id", "node_id", ((F.col("t") - F.min("t").over(WHOLE())) / DAY_US).alias("t_rel"), gap.alias("gap_seconds"), F.log1p(gap).alias("gap_log"), (F.row_number().over(W()) - 1).alias("post_index"), F.floor(F.pmod(F.col("t"), F.lit(int(DAY_US))) / 3_600_000_000).cast("int").alias("hour"))
+    return points.select("entity_id", "node_id", F.try_divide((F.col("t") - F.min("t").over(WHOLE())).cast("double"), F.coalesce(F.nullif(F.max("t").over(WHOLE()) - F.min("t").over(WHOLE()), F.lit(0)), F.lit(1_000_000))).alias("t_rel"), gap.alias("gap_seconds"), F.log1p(gap).alias("gap_log"), (F.row_number().over(W()) - 1).alias("post_index"), F.floor(F.pmod(F.col("t"), F.lit(int(DAY_US))) / 3_600_000_000).cast("int").alias("hour"))
 
 
 def behaviour_features(points: DataFrame, burst: int = 5) -> DataFrame:
-    """Per entity: posts, span in days, gaps in hours (mean, sample deviation, maximum, median, cv), night (0 to 5) and evening (18 to 23) shares, posts followed by burst or more within an hour."""
-    hour = Window.partitionBy("entity_id").orderBy("t").rangeBetween(1, 3_600_000_000)
-    f = points.select("entity_id", "t", ((F.col("t") - F.lag("t").over(W())) / 3.6e9).alias("gap"), F.floor(F.pmod(F.col("t"), F.lit(int(DAY_US))) / 3_600_000_000).alias("h"), F.count(F.lit(1)).over(hour).alias("soon"))
-    return f.groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("n_posts"), ((F.max("t") - F.min("t")) / DAY_US).alias("span_days"), F.avg("gap").alias("mean_gap"), F.stddev_samp("gap").alias("std_gap"), F.max("gap").alias("max_gap"), F.percentile("gap", 0.5).alias("median_gap"),
-        F.avg(F.when(F.col("h") < 6, 1.0).otherwise(0.0)).alias("night_ratio"), F.avg(F.when(F.col("h") >= 18, 1.0).otherwise(0.0)).alias("evening_ratio"), F.count_if(F.col("soon") >= burst).alias("bursts"),
-    ).withColumn("cv_gap", F.try_divide("std_gap", "mean_gap"))
+    """Per entity: posts, span in days, gaps in seconds (mean, population deviation, maximum, median, cv, slope over their index if there are three), night (0 to 5) and evening (18 to 23) shares, and bursts.
+
+    A burst is a post with so many posts, itself among them, from it (in order of time) to an hour later, in whole
+    seconds. An entity of one post has gaps of 0.
+    """
+    order = Window.partitionBy("entity_id").orderBy("s")
+    upto = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, 3600))
+    f = points.select("entity_id", "t", "node_id", F.floor(F.col("t") / 1_000_000).alias("s"), ((F.col("t") - F.lag("t").over(W())) / 1e6).alias("gap"), F.floor(F.pmod(F.col("t"), F.lit(int(DAY_US))) / 3_600_000_000).alias("h"), (F.row_number().over(W()) - 1).alias("i"))
+    f = f.withColumn("soon", upto - F.col("i"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    g = f.groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("n_posts"), ((F.max("t") - F.min("t")) / DAY_US).alias("span_days"), zero(F.avg("gap")).alias("mean_gap"), zero(F.stddev_pop("gap")).alias("std_gap"), zero(F.max("gap")).alias("max_gap"), zero(F.percentile("gap", 0.5)).alias("median_gap"),
+        F.when(F.count("gap") > 2, F.regr_slope("gap", "i")).otherwise(0.0).alias("gap_trend"), F.avg(F.when(F.col("h") < 6, 1.0).otherwise(0.0)).alias("night_ratio"), F.avg(F.when(F.col("h") >= 18, 1.0).otherwise(0.0)).alias("evening_ratio"), F.count_if(F.col("soon") >= burst).alias("bursts"),
+    )
+    return g.withColumn("cv_gap", zero(F.try_divide("std_gap", "mean_gap")))
 
 
-def sector_features(prices: DataFrame, key: str, t: str, price: str, volume: str) -> DataFrame:
-    """Per row of a series: returns over 5, 20 and 60 rows, log return, annualised deviation over 5 and 20 rows, price against its 20-row mean, volume against its; incomplete rows are dropped."""
+def sector_features(prices: DataFrame, key: str, t: str, price: str, volume: str, benchmark: str = "benchmark") -> DataFrame:
+    """Per row of a series: returns over 5, 20 and 60 rows, annualised deviation of log returns over 5 and 20 rows, the 20-row return less the benchmark's (a column of its prices on the same rows), volume against its 20-row mean; incomplete rows are dropped."""
     w = Window.partitionBy(key).orderBy(t)
     back = lambda n: w.rowsBetween(-n + 1, 0)
+    change = lambda c, n: F.try_divide(F.col(c), F.lag(c, n).over(w)) - 1
     p = prices.withColumn("lr", F.log(F.try_divide(F.col(price), F.lag(price).over(w)))).withColumn("i", F.row_number().over(w))
     out = p.select(
-        key, t, "i", *[(F.try_divide(F.col(price), F.lag(price, n).over(w)) - 1).alias(f"ret_{n}") for n in (5, 20, 60)], F.col("lr").alias("log_return"), *[(F.stddev_samp("lr").over(back(n)) * (252**0.5)).alias(f"vol_{n}") for n in (5, 20)],
-        F.try_divide(F.col(price), F.avg(price).over(back(20))).alias("strength"), F.try_divide(F.col(volume), F.avg(volume).over(back(20))).alias("volume_ratio"),
+        key, t, "i", *[change(price, n).alias(f"ret_{n}") for n in (5, 20, 60)], *[(F.stddev_samp("lr").over(back(n)) * (252**0.5)).alias(f"vol_{n}") for n in (5, 20)],
+        (change(price, 20) - change(benchmark, 20)).alias("rel_strength"), F.try_divide(F.col(volume), F.avg(volume).over(back(20))).alias("volume_ratio"),
     )
     return out.where("i > 60").drop("i").dropna()
 

@@ -18,7 +18,7 @@ def temporal_edges(spark, d):
     return graph.temporal_edges(ingested(spark, d))
 
 
-@query(f"{PTS}, l as (select node_id, entity_id, row_number() over (partition by entity_id order by t, node_id) as i from pts) select a.node_id, b.i - a.i as step, b.node_id as other from l a join l b on a.entity_id = b.entity_id and b.i <> a.i and abs(b.i - a.i) <= 2")
+@query(f"{PTS}, l as (select node_id, lead(node_id) over w as n1, lead(node_id, 2) over w as n2, lag(node_id) over w as p1, lag(node_id, 2) over w as p2 from pts window w as (partition by entity_id order by t, node_id)) select node_id, s.step::bigint as step, case s.step when 1 then n1 when 2 then n2 when -1 then p1 else p2 end as other from l, (select unnest([1, 2, -1, -2]) as step) s where case s.step when 1 then n1 when 2 then n2 when -1 then p1 else p2 end is not null")
 def temporal_walk(spark, d):
     w = graph.walk(derived(spark, d), 2)
     side = lambda c, s: w.select("node_id", F.posexplode(c).alias("i", "other")).select("node_id", ((F.col("i") + 1) * s).cast("long").alias("step"), "other")
@@ -47,20 +47,20 @@ def typed_success(spark, d):
     return graph.success_scores(table(spark, d, "typed_edges")).withColumn("success_score", F.round("success_score", 6))
 
 
-@query(f"""with recursive {EDGES}, r as (select source as start, source as node, 1.0::double as weight, 0 as hop from (select distinct source from e where source <= 20) union
+@query(f"""with recursive {EDGES}, r as (select source as start, source as node, 1.0::double as weight, 0 as hop from (select distinct source from e) union
 select start, target, weight * w, hop + 1 from r join e on node = source where hop < 3 and weight * w > 0.01 and target <> start)
 select start, node, round(max(weight), 6) as weight from r where node <> start group by 1, 2""")
 def typed_traverse(spark, d):
     e = table(spark, d, "typed_edges")
-    starts = e.where("source <= 20 and target is not null and weight is not null").select(F.col("source").alias("start")).distinct()
+    starts = e.where("target is not null and weight is not null and source is not null").select(F.col("source").alias("start")).distinct()
     return graph.traverse(e, starts, None, 3).withColumn("weight", F.round("weight", 6))
 
 
-@query("""with recursive e as (select distinct source, target from typed_edges where source is not null and target is not null), r as (select source as start, source as node, 0 as hop from (select distinct source from e where source <= 20) union select start, target, hop + 1 from r join e on node = source where hop < 3)
+@query("""with recursive e as (select distinct source, target from typed_edges where source is not null and target is not null), r as (select source as start, source as node, 0 as hop from (select distinct source from e) union select start, target, hop + 1 from r join e on node = source where hop < 3)
 select start, node, min(hop) as hop from r group by 1, 2 having min(hop) > 0""")
 def graph_reach(spark, d):
     e = table(spark, d, "typed_edges")
-    return graph.reach(e, e.where("source <= 20").select(F.col("source").alias("start")).distinct(), None, 3)
+    return graph.reach(e, e.where("source is not null and target is not null").select(F.col("source").alias("start")).distinct(), None, 3)
 
 
 @query("""with recursive e as (select distinct source, target from typed_edges where source is not null and target is not null), r as (select 1::bigint as node, [1::bigint] as path union all select target, list_append(path, target) from r join e on node = source where len(path) < 5 and not list_contains(path, target)),
@@ -126,7 +126,7 @@ def mdp_quality(spark, d):
     return q.select("region", F.round("quality", 6).alias("quality"), F.round("decay", 6).alias("decay"))
 
 
-@query(f"{EP}, s as (select region, action, count(*) as n, (1 + count(*) filter (reward > 0.5)) / (2 + count(*)) as success from ep group by 1, 2) select region, action, n, round(success, 6) as success, row_number() over (partition by region order by success desc, action)::int as rank from s")
+@query(f"{EP}, m as (select *, lead(step) over (partition by episode_id order by step) as later from ep), s as (select region, action, count(*) as n, (1 + count(*) filter (reward > 0.5)) / (2 + count(*)) as success from m where later is not null group by 1, 2) select region, action, n, round(success, 6) as success, row_number() over (partition by region order by success desc, action)::int as rank from s")
 def mdp_action_success(spark, d):
     return learning.action_success(_episodes(spark, d)).withColumn("success", F.round("success", 6))
 
@@ -153,12 +153,12 @@ def bn_posterior(spark, d):
     return _network(spark, d).posterior("event_type", {"size": "high"}).withColumn("probability", F.round("probability", 6))
 
 
-@query("""with w as (select lower(trim(label)) as label, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from unified where label is not null and text is not null and source = 'erisk' and lower(trim(label)) in ('control', 'depression')),
+@query("""with w as (select lower(trim(label)) as label, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from unified where label is not null and text is not null),
 tf as (select label, term, count(*) as n from w group by 1, 2), z as (select label, sum(n) as size from tf group by 1), a as (select term, sum(n) as al from tf group by 1),
 s as (select label, term, n / size * ln(1 + (select avg(size) from z) / al) as weight from tf join z using (label) join a using (term))
 select label, term, round(weight, 6) as weight, row_number() over (partition by label order by weight desc, term)::int as rank from s qualify row_number() over (partition by label order by weight desc, term) <= 5""")
 def class_terms(spark, d):
-    u = table(spark, d, "unified").withColumn("label", F.lower(F.trim("label"))).where("source = 'erisk' and label in ('control', 'depression')")
+    u = table(spark, d, "unified").withColumn("label", F.lower(F.trim("label")))
     return learning.class_terms(u, "label", "text").withColumn("weight", F.round("weight", 6))
 
 
@@ -187,9 +187,9 @@ def delta_encode(spark, d):
     return storage.delta_encode(derived(spark, d), 10, 0.1).select("node_id", "keyframe", F.size("indices").alias("n_values"))
 
 
-@query(f"{PTS} select node_id, round(vector[1], 6) as v0, round(vector[64], 6) as v63 from pts where entity_id <= 20")
+@query(f"{PTS} select node_id, round(vector[1], 6) as v0, round(vector[64], 6) as v63 from pts")
 def delta_roundtrip(spark, d):
-    out = storage.delta_decode(storage.delta_encode(derived(spark, d).where("entity_id <= 20"), 10), 10, 64)
+    out = storage.delta_decode(storage.delta_encode(derived(spark, d), 10), 10, 64)
     return out.select("node_id", F.round(F.col("vector")[0], 6).alias("v0"), F.round(F.col("vector")[63], 6).alias("v63"))
 
 

@@ -15,6 +15,7 @@ from vectide.session import table
 from vectide.sources import points as pts
 
 MID = 1235000000000000
+MOST_ANCHORS = 1000  # anchors become literals; the table is fixed and has ten
 LOW, HIGH = 1232000000000000, 1238000000000000
 
 
@@ -23,7 +24,10 @@ def _q(spark: SparkSession, d: str) -> list[float]:
 
 
 def _anchors(spark: SparkSession, d: str) -> list[list[float]]:
-    return [[float(x) for x in r["vector"]] for r in table(spark, d, "anchors").orderBy("anchor_idx").limit(1000).collect()]
+    rows = table(spark, d, "anchors").orderBy("anchor_idx").limit(MOST_ANCHORS + 1).collect()
+    if len(rows) > MOST_ANCHORS:
+        raise ValueError(f"at most {MOST_ANCHORS} anchors")
+    return [[float(x) for x in r["vector"]] for r in rows]
 
 
 def _out(df: DataFrame, *more: str) -> DataFrame:
@@ -129,8 +133,7 @@ def scored_search(spark, d):
 
     p = pts.ingested(spark, d)
     by_entity = success_scores(table(spark, d, "typed_edges")).withColumnRenamed("source", "entity_id")
-    ok = p.select("node_id", "entity_id").join(by_entity, "entity_id").select("node_id", "success_score")
-    return _out(search.scored_search(p, SearchSpec(_q(spark, d)), scoring.BALANCED, ok, F.col("node_id") % 2 == 0))
+    return _out(search.scored_search(p, SearchSpec(_q(spark, d)), scoring.BALANCED, by_entity, F.col("node_id") % 2 == 0, "entity_id"))
 
 
 LINE = "line as (select node_id, entity_id, t, row_number() over (partition by entity_id order by t, node_id) as pos, lag(node_id) over (partition by entity_id order by t, node_id) as before, lead(node_id) over (partition by entity_id order by t, node_id) as after from pts)"
@@ -265,9 +268,9 @@ def region_shares(spark, d):
 @query(ING.replace("with ing", "with recursive ing", 1) + f""", {HUBS}, {SHARES},
 g as (select x.entity_id, x.win, x.t, y.hub, coalesce(sh.share, 0) as share, row_number() over (partition by x.entity_id, y.hub order by x.win) as i from (select distinct entity_id, win, t from sh) x join (select distinct entity_id, hub from sh) y using (entity_id) left join sh on sh.entity_id = x.entity_id and sh.win = x.win and sh.hub = y.hub),
 r as (select entity_id, hub, win, t, share, i from g where i = 1 union all select g.entity_id, g.hub, g.win, g.t, 0.3183099 * g.share + (1 - 0.3183099) * r.share, g.i from r join g on g.entity_id = r.entity_id and g.hub = r.hub and g.i = r.i + 1)
-select entity_id, hub, win, t, round(share, 6) as share from r where entity_id <= 3""")
+select entity_id, hub, win, t, round(share, 6) as share from r""")
 def region_trajectory(spark, d):
-    return regions.region_trajectory(_assigned(spark, d)[0], WEEK, 0.3183099).where("entity_id <= 3").withColumn("share", F.round("share", 6))
+    return regions.region_trajectory(_assigned(spark, d)[0], WEEK, 0.3183099).withColumn("share", F.round("share", 6))
 
 
 DIST = ", ad as (select node_id, entity_id, t, anchor_idx as anchor, 1 - list_inner_product(pts.vector, a.vector) / (sqrt(list_inner_product(pts.vector, pts.vector)) * sqrt(list_inner_product(a.vector, a.vector))) as dd from pts, anchors a)"

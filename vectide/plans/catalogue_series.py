@@ -78,9 +78,9 @@ def analogy(spark, d):
     return _long(tr.analogy(derived(spark, d), 1, T1, T2, 2, T3), "analogy")
 
 
-@query(f"{PTS}, {LINE} select entity_id, t, dim, round(abs(vector[dim + 1] - v0[dim + 1]), 6) as intensity from (select *, {UNNEST} from line where t0 is not null) where entity_id <= 10")
+@query(f"{PTS}, {LINE} select entity_id, t, dim, round(abs(vector[dim + 1] - v0[dim + 1]), 6) as intensity from (select *, {UNNEST} from line where t0 is not null)")
 def heatmap(spark, d):
-    return tr.heatmap(derived(spark, d).where("entity_id <= 10")).withColumn("intensity", F.round("intensity", 6))
+    return tr.heatmap(derived(spark, d)).withColumn("intensity", F.round("intensity", 6))
 
 
 @query(f"{PTS}, {LINE} select entity_id, dim, round(stddev_samp((vector[dim + 1] - v0[dim + 1]) / greatest(t - t0, 1)) * 1e9, 6) as volatility from (select *, {UNNEST} from line where t0 is not null) group by 1, 2 having count(*) >= 9")
@@ -141,25 +141,25 @@ def entity_timeline(spark, d):
     return tr.timelines(derived(spark, d))
 
 
-@query(f"{PTS}, g as (select *, coalesce((t - lag(t) over (partition by entity_id order by t, node_id)) / 1e6, 0) as gap from pts) select entity_id, node_id, round((t - min(t) over (partition by entity_id)) / {DAY}.0, 6) as t_rel, round(gap, 3) as gap_seconds, round(ln(1 + gap), 6) as gap_log, row_number() over (partition by entity_id order by t, node_id) - 1 as post_index, (t % {DAY}) // 3600000000 as hour from g")
+@query(f"{PTS}, g as (select *, coalesce((t - lag(t) over (partition by entity_id order by t, node_id)) / 1e6, 0) as gap from pts) select entity_id, node_id, round((t - min(t) over (partition by entity_id)) / coalesce(nullif(max(t) over (partition by entity_id) - min(t) over (partition by entity_id), 0), 1000000)::double, 6) as t_rel, round(gap, 3) as gap_seconds, round(ln(1 + gap), 6) as gap_log, row_number() over (partition by entity_id order by t, node_id) - 1 as post_index, (t % {DAY}) // 3600000000 as hour from g")
 def post_features(spark, d):
     f = tr.post_features(derived(spark, d))
     return f.select("entity_id", "node_id", F.round("t_rel", 6).alias("t_rel"), F.round("gap_seconds", 3).alias("gap_seconds"), F.round("gap_log", 6).alias("gap_log"), "post_index", "hour")
 
 
-@query(f"""{PTS}, g as (select entity_id, t, (t - lag(t) over (partition by entity_id order by t, node_id)) / 3.6e9 as gap, (t % {DAY}) // 3600000000 as h, count(*) over (partition by entity_id order by t range between 1 following and 3600000000 following) as soon from pts)
-select entity_id, count(*) as n_posts, round((max(t) - min(t)) / {DAY}.0, 6) as span_days, round(avg(gap), 6) as mean_gap, round(stddev_samp(gap), 6) as std_gap, round(max(gap), 6) as max_gap, round(median(gap), 6) as median_gap, round(avg(case when h < 6 then 1.0 else 0.0 end), 6) as night_ratio, round(avg(case when h >= 18 then 1.0 else 0.0 end), 6) as evening_ratio, count(*) filter (soon >= 5) as bursts, round(stddev_samp(gap) / avg(gap), 6) as cv_gap from g group by 1""")
+@query(f"""{PTS}, g as (select entity_id, t, (t - lag(t) over (partition by entity_id order by t, node_id)) / 1e6 as gap, (t % {DAY}) // 3600000000 as h, row_number() over (partition by entity_id order by t, node_id) - 1 as i, count(*) over (partition by entity_id order by t // 1000000 range between unbounded preceding and 3600 following) as upto from pts)
+select entity_id, count(*) as n_posts, round((max(t) - min(t)) / {DAY}.0, 6) as span_days, round(coalesce(avg(gap), 0), 4) as mean_gap, round(coalesce(stddev_pop(gap), 0), 4) as std_gap, round(coalesce(max(gap), 0), 4) as max_gap, round(coalesce(median(gap), 0), 4) as median_gap, round(case when count(gap) > 2 then regr_slope(gap, i) else 0 end, 3) as gap_trend, round(avg(case when h < 6 then 1.0 else 0.0 end), 6) as night_ratio, round(avg(case when h >= 18 then 1.0 else 0.0 end), 6) as evening_ratio, count(*) filter (upto - i >= 5) as bursts, round(coalesce(stddev_pop(gap) / nullif(avg(gap), 0), 0), 6) as cv_gap from g group by 1""")
 def behaviour_features(spark, d):
     f = tr.behaviour_features(derived(spark, d))
-    return f.select("entity_id", "n_posts", "bursts", *[F.round(c, 6).alias(c) for c in ("span_days", "mean_gap", "std_gap", "max_gap", "median_gap", "night_ratio", "evening_ratio", "cv_gap")])
+    return f.select("entity_id", "n_posts", "bursts", F.round("gap_trend", 3).alias("gap_trend"), *[F.round(c, 4).alias(c) for c in ("mean_gap", "std_gap", "max_gap", "median_gap")], *[F.round(c, 6).alias(c) for c in ("span_days", "night_ratio", "evening_ratio", "cv_gap")])
 
 
-@query("""with p as (select o_custkey as k, o_orderkey as t, o_totalprice as price, o_orderkey % 100 + 1.0 as volume from orders where o_custkey % 10 = 1), r as (select o.o_custkey % 3 as k, o.o_orderkey as t, o.o_totalprice::double as price, (o.o_orderkey % 100 + 1)::double as volume from orders o),
-l as (select *, ln(price / lag(price) over w) as lr, row_number() over w as i, price / lag(price, 5) over w - 1 as ret_5, price / lag(price, 20) over w - 1 as ret_20, price / lag(price, 60) over w - 1 as ret_60, price / avg(price) over (partition by k order by t rows between 19 preceding and current row) as strength, volume / avg(volume) over (partition by k order by t rows between 19 preceding and current row) as volume_ratio from r window w as (partition by k order by t)),
+@query("""with r as (select o.o_custkey % 3 as k, o.o_orderkey as t, o.o_totalprice::double as price, (o.o_orderkey % 100 + 1)::double as volume, (o.o_orderkey % 37 + 20)::double as bench from orders o),
+l as (select *, ln(price / lag(price) over w) as lr, row_number() over w as i, price / lag(price, 5) over w - 1 as ret_5, price / lag(price, 20) over w - 1 as ret_20, price / lag(price, 60) over w - 1 as ret_60, (price / lag(price, 20) over w - 1) - (bench / lag(bench, 20) over w - 1) as rel_strength, volume / avg(volume) over (partition by k order by t rows between 19 preceding and current row) as volume_ratio from r window w as (partition by k order by t)),
 m as (select *, stddev_samp(lr) over (partition by k order by t rows between 4 preceding and current row) * sqrt(252) as vol_5, stddev_samp(lr) over (partition by k order by t rows between 19 preceding and current row) * sqrt(252) as vol_20 from l)
-select k, t, round(ret_5, 5) as ret_5, round(ret_20, 5) as ret_20, round(ret_60, 5) as ret_60, round(lr, 5) as log_return, round(vol_5, 5) as vol_5, round(vol_20, 5) as vol_20, round(strength, 5) as strength, round(volume_ratio, 5) as volume_ratio from m where i > 60""")
+select k, t, round(ret_5, 5) as ret_5, round(ret_20, 5) as ret_20, round(ret_60, 5) as ret_60, round(vol_5, 5) as vol_5, round(vol_20, 5) as vol_20, round(rel_strength, 5) as rel_strength, round(volume_ratio, 5) as volume_ratio from m where i > 60""")
 def sector_features(spark, d):
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 3).alias("k"), F.col("o_orderkey").alias("t"), F.col("o_totalprice").cast("double").alias("price"), (F.col("o_orderkey") % 100 + 1).cast("double").alias("volume"))
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 3).alias("k"), F.col("o_orderkey").alias("t"), F.col("o_totalprice").cast("double").alias("price"), (F.col("o_orderkey") % 100 + 1).cast("double").alias("volume"), (F.col("o_orderkey") % 37 + 20).cast("double").alias("benchmark"))
     f = tr.sector_features(o, "k", "t", "price", "volume")
     return f.select("k", "t", *[F.round(c, 5).alias(c) for c in f.columns[2:]])
 
@@ -170,10 +170,10 @@ def daily_activity(spark, d):
     return tr.daily_activity(e.withColumn("t_us", micros(e, "ts")), "user_id", "t_us", "event_type", ["view", "error"]).withColumn("after_hours_ratio", F.round("after_hours_ratio", 6))
 
 
-@query(f"""{PTS}, u as (select entity_id, t, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) as u, row_number() over (partition by entity_id order by t, node_id) as i from pts where entity_id <= 20)
+@query(f"""{PTS}, u as (select entity_id, t, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) as u, row_number() over (partition by entity_id order by t, node_id) as i from pts)
 select a.entity_id, a.i, a.t, round(1 - avg(list_inner_product(x.u, y.u)), 6) as dispersion from u a join u x on x.entity_id = a.entity_id and x.i between a.i and a.i + 29 join u y on y.entity_id = a.entity_id and y.i between a.i and a.i + 29 and y.i <> x.i where (a.i - 1) % 5 = 0 group by 1, 2, 3 having count(*) = 870""")
 def dispersion_timeline(spark, d):
-    return tr.dispersion_timeline(derived(spark, d).where("entity_id <= 20")).select("entity_id", "i", "t", F.round("dispersion", 6).alias("dispersion"))
+    return tr.dispersion_timeline(derived(spark, d)).select("entity_id", "i", "t", F.round("dispersion", 6).alias("dispersion"))
 
 
 WIN = 2 * DAY

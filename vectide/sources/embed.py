@@ -13,21 +13,27 @@ Embedder = Callable[[list[str], int], np.ndarray]
 
 
 def byte_hash(texts: list[str], dim: int) -> np.ndarray:
-    """Unit vectors from the bytes of a text; no meaning, but always the same. An empty text is the first axis."""
-    out = np.zeros((len(texts), dim))
+    """Unit vectors from the bytes of a text; no meaning, but always the same: byte i adds its value less 96, in hundredths, to component i mod dim. NaN for an empty text, which is refused."""
+    out = np.full((len(texts), dim), np.nan)
     for i, t in enumerate(texts):
-        for j, b in enumerate(t.encode()):
-            out[i, (b * 31 + j * 7) % dim] += (b % 17) - 8 + 0.5
-        if not out[i].any():
-            out[i, 0] = 1.0
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+        if t:
+            b = np.frombuffer(t.encode(), np.uint8).astype(float)
+            v = np.bincount(np.arange(len(b)) % dim, (b - 96) * 0.01, dim)
+            size = np.linalg.norm(v)
+            out[i] = v / size if size > 1e-8 else v
+    return out
 
 
 EMBEDDERS: dict[str, Embedder] = {"byte_hash": byte_hash}
 
 
+def register(name: str, f: Embedder) -> None:
+    """Makes an embedder known by name; it must be picklable, as it runs in the workers."""
+    EMBEDDERS[name] = f
+
+
 def embed(rows: DataFrame, text: str, dim: int, model: str = "byte_hash", out: str = "embedding") -> DataFrame:
-    """rows with an embedding of a text column; null texts have none."""
+    """rows with an embedding of a text column; null texts and texts that the embedder refuses (empty ones) have none."""
     f = EMBEDDERS[model]
 
     @F.pandas_udf("array<double>")
@@ -35,7 +41,7 @@ def embed(rows: DataFrame, text: str, dim: int, model: str = "byte_hash", out: s
         known = t.notna()
         res = pd.Series([None] * len(t), index=t.index, dtype=object)
         if known.any():
-            res[known] = pd.Series(list(f(t[known].tolist(), dim)), index=t[known].index)
+            res[known] = pd.Series([v if np.isfinite(v).all() else None for v in f(t[known].tolist(), dim)], index=t[known].index)
         return res
 
     return rows.withColumn(out, run(text))
