@@ -74,14 +74,14 @@ def lag_p(f: float, lag: int, df: int, exact: bool = True) -> float:
 
 
 def granger(a: np.ndarray, b: np.ndarray, lags: int = 5, exact: bool = True) -> dict:
-    """Does a's past help to foretell b? The lag of the least combined p, its mean F, p, effect size and F per dimension; lag 1, F 0, p 1 if no lag tells anything.
+    """Does a's past help to foretell b? The lag of the least combined p, its mean F, p, effect size and F per dimension; lag 1, F 0, p 1 if no lag tells anything or there are fewer than lags + 3 rows.
 
     For each lag and dimension b's own past is compared with both pasts (no intercept, a small ridge). The effect is
     the share of b's residuals, summed over dimensions, that a's past takes away.
     """
     n, dim = b.shape
     best = {"lag": 1, "f": 0.0, "p": 1.0, "effect": 0.0, "per_dimension": [0.0] * dim}
-    for lag in range(1, min(lags, n - 1) + 1):
+    for lag in range(1, lags + 1) if n >= lags + 3 else ():
         m, fs, ps, rest = n - lag, [], [], [0.0, 0.0]
         df = m - 2 * lag
         for k in range(dim):
