@@ -381,6 +381,11 @@ def test_screen_loses_nothing(spark):
         if not out[i]["screened"]:
             assert abs(out[i]["repeated_share"] - true) < 1e-12
     assert any(r["screened"] and r["n_words"] >= 6 for r in out.values())
+    found = {r["doc_id"]: r["repeated_share"] for r in repetition.repeating(df, "doc_id", "text").collect()}
+    assert found == {i: r["repeated_share"] for i, r in out.items() if r["n_words"] >= 6 and r["repeated_share"] >= 0.3 - 1e-9}
+    bands = {r["script"]: r["least_lack"] for r in repetition.rejection_bands(repetition.measure_repetition(df, "doc_id", "text")).collect()}
+    assert all(out[i]["lack"] >= bands[out[i]["script"]] - 1e-9 for i in found)
+    assert repetition.repeating(df.where("doc_id < 0"), "doc_id", "text").count() == 0
 
 
 def test_screened_documents_are_measured(spark):

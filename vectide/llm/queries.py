@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vectide.llm import overlap, packing, pii, repetition, splits, tokens, vectors
 from vectide.llm.sql import SQL  # noqa: F401
 from vectide.operators.skew import hot_join
-from vectide.session import table
+from vectide.session import Scratch, table
 
 
 def _posts(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text", every=False).where(F.col("repeated_share") >= repetition.SHARE - 1e-9).select("doc_id")
+    return repetition.repeating(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
 
 def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,12 @@ def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_bands(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.fertility_bands(repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text", every=False))
+    return repetition.fertility_bands(repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sanitised, p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands)}
+def p10_outside(spark: SparkSession, d: str) -> DataFrame:
+    measured = Scratch(spark, "repetition").write(repetition.measure_repetition(table(spark, d, "documents"), "doc_id", "text"))
+    return repetition.outside_bands(measured, "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sanitised, p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands, p10_outside)}

@@ -1,15 +1,16 @@
-"""Repetition inside a document: tokeniser fertility first, five-word runs where it does not settle the case.
-
-Words are encoded with a public vocabulary. If a share s of a document's W words is repeated, each repeated word
-brings tokens that stood there before, so of its T tokens at most T - s*W are distinct and the token entropy is
-at most log2(T - s*W). A document above that band, which depends on its own tokens per word and so on its
-language and script, can't reach the share and is rejected; this loses nothing. The others are measured exactly; where the share of each
-document is asked for, so are the rejected ones.
+"""Repetition inside a document by tokeniser fertility: rejection bands per script, then five-word runs for what is left.
+
+Every text is measured with a public vocabulary: characters per token, share of tokens that are single bytes, and token
+entropy, all over the whole text as it stands; and its words, lower-cased, alone: tokens per word and the entropy that
+their tokens lack, log2(tokens) - entropy. If a share s of W words is repeated, each repeated word brings tokens that
+stood there before, so of T tokens at most T - s W are distinct, and the lack is at least -log2(1 - s W / T). The fewer
+tokens a word has, the larger that is; so the greatest number of tokens per word that any document of a script has
+gives the script a band of the lack, and a document outside its script's band can't reach the share. Bands come from
+all documents and reject without loss. Documents within their band are verified by runs of five words.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.tokens import TOKENIZERS, encoder
+from vectide.llm.tokens import TOKENIZERS, ship, shipped
 from vectide.llm.words import WORD
+from vectide.session import Scratch
 
 RUN = 5
 LEAST_WORDS = 6
 SHARE = 0.3
-SCHEMA = "id long, script string, n_words int, n_tokens int, chars_per_token double, byte_share double, token_entropy double, screened boolean, repeated_share double"
+VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+MEASURES = "id long, script string, n_words int, n_tokens int, chars_per_token double, byte_share double, token_entropy double, tokens_per_word double, lack double, screened boolean"
 
 
 @lru_cache(maxsize=65536)
@@ -58,56 +61,102 @@ def repeated_words(codes: np.ndarray, run: int = RUN) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _measure(path: str, share: float, every: bool):
+def _entropy(counts: np.ndarray) -> float:
+    p = counts / counts.sum()
+    return float(-(p * np.log2(p)).sum())
+
+
+def _measure(vocabulary, share: float, last_is: str):
+    """Measures of each row, and as last the share of repeated words (of every row, or of rows that their own bound leaves open), or the numbers of the words of rows left open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = shipped(vocabulary.value)
         number: dict[str, int] = {}
-        tokens: list[array] = []
+        tokens: list[np.ndarray] = []
+        scripts: list[str] = []
         for batch in batches:
             if len(number) > 400_000:
-                number, tokens = {}, []
-            rows = []
+                number, tokens, scripts = {}, [], []
+            rows, last = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 ws = WORD.findall(text.lower()) if text else []
                 n = len(ws)
+                ids = array("i")
+                if text:
+                    enc.encode_into(text, ids)
+                raw = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32)
+                whole = (len(raw), len(text) / len(raw), float((raw < 256).mean()), _entropy(np.unique(raw, return_counts=True)[1])) if len(raw) else (0, None, None, None)
                 if not n:
-                    rows.append((i, None, 0, 0, None, None, None, True, 0.0))
+                    rows.append((i, None, 0, *whole, None, None, True))
+                    last.append(None if last_is == "codes" else 0.0)
                     continue
-                codes = np.empty(n, np.int64)
+                codes = np.empty(n, np.int32)
                 for j, w in enumerate(ws):
                     c = number.get(w)
                     if c is None:
                         c = number[w] = len(tokens)
                         tokens.append(np.array(enc.bpe.encode_ordinary(" " + w), np.int32))
+                        scripts.append(_script(w))
                     codes[j] = c
-                kinds, counts = np.unique(codes, return_counts=True)
+                kinds, own, counts = np.unique(codes, return_inverse=True, return_counts=True)
                 sizes = np.array([len(tokens[k]) for k in kinds])
                 total = int((sizes * counts).sum())
-                flat = np.concatenate([tokens[k] for k in kinds])
-                ids, at = np.unique(flat, return_inverse=True)
-                p = np.bincount(at, weights=np.repeat(counts, sizes)) / total
-                entropy = float(-(p * np.log2(p)).sum())
-                least = math.ceil(share * n - 1e-9)
-                screened = n < LEAST_WORDS or entropy > math.log2(max(total - least, 1)) + 1e-9
-                chars = sum(map(len, ws))
-                rows.append((i, _script(ws[n // 2]), n, total, chars / total, float(p[ids < 256].sum()), entropy, bool(screened), repeated_words(codes) / n if every or not screened else None))
-            cols = list(zip(*rows)) if rows else [[]] * 9
-            kinds_ = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds_)], ["id", "script", "n_words", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "screened", "repeated_share"])
+                _, at = np.unique(np.concatenate([tokens[k] for k in kinds]), return_inverse=True)
+                lack = float(np.log2(total)) - _entropy(np.bincount(at, weights=np.repeat(counts, sizes)))
+                names: dict[str, int] = {}
+                for k, m in zip(kinds.tolist(), counts.tolist()):
+                    names[scripts[k]] = names.get(scripts[k], 0) + m
+                rows.append((i, max(names, key=lambda x: (names[x], x)), n, *whole, total / n, lack, screened := bool(n < LEAST_WORDS or lack < least_lack(share, total / n) - 1e-9)))
+                if screened and last_is != "every":
+                    last.append(None)
+                else:
+                    last.append(own.astype(np.int32).tolist() if last_is == "codes" else repeated_words(codes) / n)
+            cols = list(zip(*rows)) if rows else [[]] * 10
+            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(cols, types)), pa.array(last, pa.list_(pa.int32()) if last_is == "codes" else pa.float64())], [*(x.split()[0] for x in MEASURES.split(", ")), "last"])
 
     return run
 
 
-def measure_repetition(docs: DataFrame, id_col: str, text_col: str, share: float = SHARE, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", every: bool = True) -> DataFrame:
-    """Per input row: script, n_words, n_tokens, chars_per_token, byte_share (of tokens that are single bytes), token_entropy (bits), screened, repeated_share.
+def least_lack(share, tokens_per_word):
+    """Bits of entropy that a text's tokens lack at least if such a share of its words is repeated."""
+    return -np.log2(np.maximum(1 - share / tokens_per_word, 1e-300))
+
 
-    screened rows can't have the asked share of repeated words (or have under six words); their repeated_share is
-    measured like any other, or null if not every share is wanted. Null, empty and wordless texts have 0 words, null
-    measures, a share of 0 and are screened. Whole texts are read, however long; no row is shuffled. Other columns
+def measure_repetition(docs: DataFrame, id_col: str, text_col: str, share: float = SHARE, vocabulary: str = VOCABULARY, every: bool = True) -> DataFrame:
+    """Per input row: script (of most of its words), n_words, n_tokens, chars_per_token, byte_share (of tokens that are single bytes), token_entropy (bits), tokens_per_word, lack (bits), screened, repeated_share.
+
+    screened rows can't have the asked share of repeated words, or have under six words; their repeated_share is measured
+    like any other, or null if not every share is wanted. Texts without words have null measures of words and a share of 0; null and
+    empty texts have 0 tokens and null measures. Whole texts are read, however long; no row is shuffled. Other columns
     are ignored.
     """
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(_measure(vocabulary, share, every), SCHEMA).withColumnRenamed("id", id_col)
+    read = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return read.mapInArrow(_measure(ship(docs, vocabulary), share, "every" if every else "open"), f"{MEASURES}, last double").withColumnsRenamed({"id": id_col, "last": "repeated_share"})
+
+
+def rejection_bands(measured: DataFrame, share: float = SHARE) -> DataFrame:
+    """script, least_lack: the band of each script, from its greatest number of tokens per word; one row for each of the scripts there are, under 200."""
+    return measured.where("n_words > 0").groupBy("script").agg(F.max("tokens_per_word").alias("most")).select("script", (-F.log2(F.greatest(1 - share / F.col("most"), F.lit(1e-300)))).alias("least_lack"))
+
+
+def repeating(docs: DataFrame, id_col: str, text_col: str, share: float = SHARE, vocabulary: str = VOCABULARY) -> DataFrame:
+    """id_col and repeated_share of the rows of LEAST_WORDS words or more of which at least such a share is repeated.
+
+    Bands per script reject, runs of five words decide about the rest, which travels as numbers of its words.
+    """
+    read = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    measured = Scratch(docs.sparkSession, "repetition").write(read.mapInArrow(_measure(ship(docs, vocabulary), share, "codes"), f"{MEASURES}, last array<int>"))
+    bands = F.broadcast(rejection_bands(measured, share))
+    left = measured.where((F.col("n_words") >= LEAST_WORDS) & F.col("last").isNotNull()).join(bands, "script").where("lack >= least_lack - 1e-9")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = [repeated_words(np.asarray(x.values)) / len(x.values) for x in batch.column(1)]
+            keep = np.flatnonzero(np.array(shares, float) >= share - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(np.array(shares, float)[keep])], ["id", "repeated_share"])
+
+    return left.select("id", "last").mapInArrow(verify, "id long, repeated_share double").withColumnRenamed("id", id_col)
 
 
 def fertility_bands(measured: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -118,5 +167,13 @@ def fertility_bands(measured: DataFrame, low: float = 0.01, high: float = 0.99)
     """
     q = lambda c, p: F.percentile_approx(c, p, 10000)
     return measured.where("n_words > 0").groupBy("script").agg(
-        F.count(F.lit(1)).alias("n_docs"), *(q(c, p).alias(f"{c}_{n}") for c in ("chars_per_token", "byte_share", "token_entropy") for n, p in (("low", low), ("high", high)))
+        F.count(F.lit(1)).alias("n_docs"), *(q(c, p).alias(f"{c}_{n}") for c in ("chars_per_token", "byte_share", "token_entropy", "tokens_per_word", "lack") for n, p in (("low", low), ("high", high)))
     )
+
+
+def outside_bands(measured: DataFrame, id_col: str) -> DataFrame:
+    """id_col, script and, for each fertility measure, whether the row lies outside its script's band; rows outside of one at least."""
+    kinds = ("chars_per_token", "byte_share", "token_entropy", "lack")
+    m = measured.where("n_words > 0").join(F.broadcast(fertility_bands(measured)), "script")
+    out = [((F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high"))).alias(f"{c}_out") for c in kinds]
+    return m.select(id_col, "script", *out).where(" or ".join(f"{c}_out" for c in kinds))
