@@ -89,6 +89,9 @@ def test_learned(known):
         ("a 5 hour drive home, 31 in one court season", set()),
         ("Oldquist, Zoë and H. Oldquist and ZOË J. MAC ELLORY", {("name", "oldquistzoë"), ("name", "holdquist"), ("name", "zoëjmacellory")}),
         ("the grace period; My name is Grace", {("name", "grace")}),
+        ("I live at Millracegasse 14, 00354 Sandmere now", {("address", "millracegasse1400354sandmere")}),
+        ("tel 07700 900816, passport 939 - 00 - 8737", {("phone", "07700900816"), ("id_number", "939008737")}),
+        ("in the long diary SSN is 907235020", {("id_number", "907235020")}),
         ("open since 2019-03-16, epoch 1535580355549710", set()),
         ("", set()),
     ],
@@ -97,6 +100,31 @@ def test_spans(known, text, want):
     assert items(text, known) == want
 
 
+def test_terms_by_join_equal_those_that_travel(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*corpus(), None, ""])], "post_id long, text string, term int")
+    near = pii.learn(df, "text", NAMES)
+    monkeypatch.setattr(pii, "MOST_TERMS", 0)
+    far = pii.learn(df, "text", NAMES)
+    assert near.spread is None and far.spread is not None and "florian" not in far.given
+    some = df.where("post_id % 7 = 0 or text is null")
+    rows = lambda k: sorted(map(tuple, pii.find_items(some, "post_id", "text", k).collect()))
+    assert rows(near) == rows(far) and len(rows(near)) > 50
+    text = lambda k: sorted(((r["post_id"], r["sanitised"]) for r in pii.sanitise(some, "post_id", "text", k).collect()), key=str)
+    assert text(near) == text(far)
+
+
+def test_written_forms_need_company(spark):
+    rng = random.Random(3)
+    texts = [f"Call me on +1-555-555-01{i % 90 + 10} please." for i in range(200)] + [f"Build 0{rng.randrange(1000, 9999)} {rng.randrange(100000, 999999)} was green." for _ in range(60)]
+    k = pii.learn(spark.createDataFrame([(t,) for t in texts], "text string"), "text", NAMES)
+    assert any(f.startswith("phone:") for f in k.weak_forms)
+    assert items("Build 07700 900816 was green", k) == set() and items("Call me on 07700 900816", k) == {("phone", "07700900816")}
+
+
+def test_context_of_whole_words():
+    assert pii.context("x" * 60 + " of 5", 63) == "x" * 60 + " of"
+
+
 def test_sanitise_keeps_the_rest(spark, known):
     df = spark.createDataFrame([(1, "Hi, My name is Zoë Oldquist; mail a@b.test!\r\n\tok", 5), (2, None, 5), (3, "", 5)], "post_id long, text string, i long")
     got = {r["post_id"]: r["sanitised"] for r in pii.sanitise(df, "post_id", "text", known).collect()}

@@ -11,12 +11,17 @@ from vectide.operators.skew import hot_join
 from vectide.session import Scratch, table
 
 
+MOST_NAMES = 100_000  # the lexicon is a fixed table of 114 rows
+
+
 def _posts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "unified").select("post_id", "text").dropDuplicates(["post_id"])
 
 
 def _known(spark: SparkSession, d: str) -> pii.Knowledge:
-    names = [(r["name"], r["name_kind"]) for r in table(spark, d, "name_lexicon").limit(100_000).collect()]
+    names = [(r["name"], r["name_kind"]) for r in table(spark, d, "name_lexicon").limit(MOST_NAMES + 1).collect()]
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"a lexicon of more than {MOST_NAMES} names")
     return pii.learn(table(spark, d, "unified").select("text"), "text", names)
 
 
