@@ -371,7 +371,27 @@ def test_crossover_keeps_items_apart():
     child = packing.crossover(a, b, size, 100, rng)
     assert sorted(i for _, items in child for i in items) == list(range(300))
     assert all(room == 100 - sum(size[i] for i in items) >= 0 for room, items in child)
-    assert len(packing.evolve(size, 100, 1)) <= len(a)
+    assert len(packing.evolve(size, 100, 1)[0]) <= len(a)
+
+
+def test_search_beats_best_fit():
+    """Triplets that fill a container exactly: best fit leaves room, crossovers find fuller packings, and no item is lost."""
+    gain = made = 0
+    for seed in range(6):
+        rng, size = random.Random(seed), []
+        for _ in range(40):
+            a = rng.randint(380, 490)
+            b = rng.randint(250, 1000 - a - 250)
+            size += [a, b, 1000 - a - b]
+        best, first, crossovers = packing.evolve(size, 1000, seed)
+        assert sorted(i for _, items in best for i in items) == list(range(120)) and len(best) <= first
+        gain, made = gain + first - len(best), made + crossovers
+    assert gain > 0 and made > 0
+
+
+def test_elites_migrate_whole():
+    best, _, _ = packing.evolve([60, 40, 50, 30, 20, 7], 100, 1, [[0, 1], [2, 3, 4]])
+    assert sorted(i for _, items in best for i in items) == list(range(6)) and len(best) == 3
 
 
 def brute_repeated(ws, run=5):

@@ -2,9 +2,10 @@
 
 Each island holds a bounded, random part of the items and evolves packings of it: crossover hands whole well
 filled containers of one parent to the other, drops that parent's containers that hold the same items, and
-best-fits the displaced items. Containers filled well enough are the island's elite and final; the items of the
-others migrate and meet on fewer islands in the next round. The last round keeps every container. Islands are
-bounded by their item count whatever the input's size, and no item is ever left out.
+best-fits the displaced items. Containers filled well enough are the island's elite. Most of them are final; some
+migrate whole, with all left-over items, to fewer islands in the next round, where they are one parent's first
+containers. The last round keeps every container. Islands are bounded by their item count whatever the input's size,
+and no item is ever left out. An island stops once its packing can't have fewer containers.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from vectide.session import Scratch
 ISLAND = 2048
 ROUNDS = 3
 ELITE_FILL = 0.998
-POPULATION = 4
-GENERATIONS = 12
-PLACED = "container string, bin string, item long, piece int, tokens long, capacity long"
+MIGRANTS = 16  # one in so many elite containers migrates
+POPULATION = 8
+GENERATIONS = 120
+MOST_KINDS = 1000
+PLACED = "container string, bin string, item long, piece int, tokens long, capacity long, elite string"
+SEARCHED = "container string, round int, island long, n_items long, least long, best_fit long, evolved long, crossovers int"
 
 Bin = tuple[int, list[int]]  # room left, indexes of items
 
@@ -71,42 +75,78 @@ def crossover(giver: list[Bin], taker: list[Bin], size: list[int], capacity: int
     return best_fit([*given, *kept[: len(kept) - len(kept) // 20]], gone, size, capacity)
 
 
-def evolve(size: list[int], capacity: int, seed: int) -> list[Bin]:
-    """The best packing found of sizes from 1 to capacity; stops once the number of containers can't be less."""
+def evolve(size: list[int], capacity: int, seed: int, elite: list[list[int]] | None = None) -> tuple[list[Bin], int, int]:
+    """The best packing found of sizes from 1 to capacity, the containers of the first best fit, and the crossovers made.
+
+    elite: groups of items that came as whole containers; one parent keeps them together. The search ends once the
+    number of containers can't be less.
+    """
     rng = random.Random(seed)
     least = -(-sum(size) // capacity)
     down = sorted(range(len(size)), key=lambda i: -size[i])
     people = [best_fit([], down, size, capacity)]
+    first, made = len(people[0]), 0
+    if elite:
+        inside = {i for g in elite for i in g}
+        people.append(best_fit([(capacity - sum(size[i] for i in g), list(g)) for g in elite], [i for i in down if i not in inside], size, capacity))
     while len(people) < POPULATION and min(map(len, people)) > least:
         order = sorted(down, key=lambda i: -size[i] * rng.uniform(0.7, 1.3))
         people.append(best_fit([], order, size, capacity))
-    people.sort(key=lambda p: (len(p), -fitness(p, capacity)))
+    rank = lambda p: (len(p), -fitness(p, capacity))
+    people.sort(key=rank)
     for _ in range(GENERATIONS):
         if len(people[0]) <= least or len(people) < 2:
             break
         a, b = rng.sample(people[: max(2, len(people) // 2 + 1)], 2)
         people[-1] = crossover(a, b, size, capacity, rng)
-        people.sort(key=lambda p: (len(p), -fitness(p, capacity)))
-    return people[0]
+        made += 1
+        people.sort(key=rank)
+    return people[0], first, made
+
+
+def _groups(elite: pd.Series) -> list[list[int]]:
+    return [rows for name, rows in elite.reset_index(drop=True).groupby(elite.reset_index(drop=True)).indices.items()]
 
 
 def _island(last: bool, step: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["item", "piece"])
+        pdf = pdf.sort_values(["item", "piece"]).reset_index(drop=True)
         capacity = int(pdf["capacity"].iat[0])
         size = pdf["tokens"].tolist()
         real = [i for i, s in enumerate(size) if s > 0]
-        bins = evolve([size[i] for i in real], capacity, step) if real else []
+        place = {i: k for k, i in enumerate(real)}
+        came = [[place[int(i)] for i in g if int(i) in place] for g in _groups(pdf["elite"])]
+        bins, _, _ = evolve([size[i] for i in real], capacity, step, [g for g in came if g]) if real else ([], 0, 0)
         name: list[str | None] = [None] * len(size)
+        elite: list[str | None] = [None] * len(size)
         for n, (room, items) in enumerate(bins):
-            if last or capacity - room >= ELITE_FILL * capacity:
-                for i in items:
+            good = capacity - room >= ELITE_FILL * capacity
+            migrates = not last and good and n % MIGRANTS == 0
+            for i in items:
+                if last or good and not migrates:
                     name[real[i]] = f"{step}-{key[1]}-{n}"
+                if migrates:
+                    elite[real[i]] = f"{step}-{key[1]}-{n}"
         # items without a token need no room: they go into any container of the island
         for i, s in enumerate(size):
             if not s:
                 name[i] = f"{step}-{key[1]}-0" if bins and last else (None if not last else f"{step}-{key[1]}-empty")
-        return pd.DataFrame({"container": pdf["container"], "bin": name, "item": pdf["item"], "piece": pdf["piece"], "tokens": pdf["tokens"], "capacity": pdf["capacity"]})
+        return pd.DataFrame({"container": pdf["container"], "bin": name, "item": pdf["item"], "piece": pdf["piece"], "tokens": pdf["tokens"], "capacity": pdf["capacity"], "elite": elite})
+
+    return run
+
+
+def _report(step: int):
+    """What an island's search did; the same search as _island's, as it depends on the rows alone."""
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["item", "piece"]).reset_index(drop=True)
+        capacity = int(pdf["capacity"].iat[0])
+        size = pdf["tokens"].tolist()
+        real = [i for i, s in enumerate(size) if s > 0]
+        place = {i: k for k, i in enumerate(real)}
+        came = [[place[int(i)] for i in g if int(i) in place] for g in _groups(pdf["elite"])]
+        bins, first, made = evolve([size[i] for i in real], capacity, step, [g for g in came if g]) if real else ([], 0, 0)
+        return pd.DataFrame({"container": [key[0]], "round": step, "island": [key[1]], "n_items": len(size), "least": -(-sum(size) // capacity), "best_fit": first, "evolved": len(bins), "crossovers": made})
 
     return run
 
@@ -119,8 +159,19 @@ def pack(items: DataFrame, item: str, tokens: str, containers: DataFrame) -> Dat
     each filling a container alone, and one rest; no other item is cut. Null sizes count as 0; items of size 0 are
     placed, too. Repeated item ids are separate items; an empty table gives no row.
     """
+    return _rounds(items, item, tokens, containers)[0]
+
+
+def search_report(items: DataFrame, item: str, tokens: str, containers: DataFrame) -> DataFrame:
+    """Per container, round and island of pack: items, the least possible containers, those of the first best fit, those evolved, and how many crossovers were made."""
+    return _rounds(items, item, tokens, containers)[1]
+
+
+def _rounds(items: DataFrame, item: str, tokens: str, containers: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = items.sparkSession
-    kinds = containers.where("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("long").alias("capacity")).limit(1000)
+    kinds = containers.where("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("long").alias("capacity"))
+    if len(kinds.limit(MOST_KINDS + 1).collect()) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     scratch = Scratch(spark, "packing")
     sized = items.select(items[item].alias("item"), F.greatest(F.coalesce(items[tokens], F.lit(0)), F.lit(0)).cast("long").alias("all"))
     every = sized.join(F.broadcast(kinds))
@@ -131,21 +182,26 @@ def pack(items: DataFrame, item: str, tokens: str, containers: DataFrame) -> Dat
         .select("container", "item", "piece", "tokens", "capacity")
     )
     whole = pieces.where("tokens = capacity").select("container", F.concat(F.lit("f-"), F.col("item").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("bin"), "item", "piece", "tokens", "capacity")
-    done, rest = [whole], pieces.where("tokens < capacity")
+    done, told, rest = [whole], [], pieces.where("tokens < capacity").withColumn("elite", F.lit(None).cast("string"))
     for step in range(1, ROUNDS + 1):
         last = step == ROUNDS
-        counts = {r["container"]: r["n"] for r in rest.groupBy("container").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 1000 kinds
+        counts = {r["container"]: r["n"] for r in rest.groupBy("container").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_KINDS
         if not counts:
             break
         islands = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(max(1, round(n / ISLAND))))])
-        dealt = rest.withColumn("island", F.pmod(F.xxhash64("item", "piece", F.lit(step)), islands[F.col("container")]))
+        # an elite container stays together
+        dealt = rest.withColumn("island", F.pmod(F.coalesce(F.xxhash64("elite"), F.xxhash64("item", "piece", F.lit(step))), islands[F.col("container")]))
+        told.append(dealt.groupBy("container", "island").applyInPandas(_report(step), SEARCHED))
         placed = scratch.write(dealt.groupBy("container", "island").applyInPandas(_island(last, step), PLACED))
-        done.append(placed.where("bin is not null"))
+        done.append(placed.where("bin is not null").drop("elite"))
         rest = placed.where("bin is null").drop("bin")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    report = told[0] if told else spark.createDataFrame([], SEARCHED)
+    for more in told[1:]:
+        report = report.unionByName(more)
+    return out, report
 
 
 def fill_report(placed: DataFrame) -> DataFrame:

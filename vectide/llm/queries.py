@@ -127,6 +127,12 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, d))
 
 
+def p9_search(spark: SparkSession, d: str) -> DataFrame:
+    """What the search of p9_containers did on each island: containers of the first best fit and evolved, crossovers made."""
+    sizes = Scratch(spark, "sizes").write(tokens.count_tokens(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.search_report(sizes, "doc_id", "n_tokens", table(spark, d, "container_size"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeating(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
@@ -144,4 +150,4 @@ def p10_outside(spark: SparkSession, d: str) -> DataFrame:
     return repetition.outside_bands(measured, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sanitised, p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p10_found, p10_repetition, p10_bands, p10_outside)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sanitised, p3_found, p3_assign, p3_shares, p4_found, p4_knn, p6_found, p6_clusters, p7_found, p7_report, p8_ids, p9_containers, p9_fill, p9_search, p10_found, p10_repetition, p10_bands, p10_outside)}

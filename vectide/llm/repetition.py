@@ -28,6 +28,7 @@ from vectide.session import Scratch
 RUN = 5
 LEAST_WORDS = 6
 SHARE = 0.3
+AT_ONCE = 1_000_000  # characters of whole texts that are measured together
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 MEASURES = "id long, script string, n_words int, n_tokens int, chars_per_token double, byte_share double, token_entropy double, tokens_per_word double, lack double, screened boolean"
 
@@ -61,59 +62,102 @@ def repeated_words(codes: np.ndarray, run: int = RUN) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def _entropy(counts: np.ndarray) -> float:
-    p = counts / counts.sum()
-    return float(-(p * np.log2(p)).sum())
+def _entropies(part: np.ndarray, kind: np.ndarray, weight: np.ndarray | None, n: int) -> np.ndarray:
+    """For each of n parts the entropy of its kinds (numbers below 2**31), in bits; NaN for a part without any."""
+    both, at = np.unique(part.astype(np.int64) << 31 | kind, return_inverse=True)
+    seen, own = np.bincount(at, weight, len(both)), both >> 31
+    total = np.bincount(own, seen, n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.log2(total) - np.bincount(own, seen * np.log2(seen), n) / total
+
+
+class _Words:
+    """Numbers of the words met so far, with their tokens and scripts."""
+
+    def __init__(self, enc):
+        self.enc, self.number = enc, {}
+        self.flat, self.start = array("i"), array("q", [0])
+        self.script, self.names = array("i"), {}
+
+    def of(self, w: str) -> int:
+        c = self.number.get(w)
+        if c is None:
+            c = self.number[w] = len(self.start) - 1
+            self.flat.extend(self.enc.bpe.encode_ordinary(" " + w))
+            self.start.append(len(self.flat))
+            self.script.append(self.names.setdefault(_script(w), len(self.names)))
+        return c
 
 
 def _measure(vocabulary, share: float, last_is: str):
     """Measures of each row, and as last the share of repeated words (of every row, or of rows that their own bound leaves open), or the numbers of the words of rows left open."""
+    def rows(ids: list, texts: list, ws: list[list[str]], known: _Words) -> pa.RecordBatch:
+        n, raw, ends = len(ids), array("i"), []
+        for t in texts:
+            if t:
+                known.enc.encode_into(t, raw)
+            ends.append(len(raw))
+        tokens, n_raw = np.array(raw, np.int64), np.diff(np.r_[0, ends]).astype(np.int64)
+        doc = np.repeat(np.arange(n), n_raw)
+        none = n_raw == 0
+        byte = np.bincount(doc, tokens < 256, n)
+        raw_entropy = _entropies(doc, tokens, None, n)
+        n_words = np.array([len(w) for w in ws], np.int64)
+        codes = np.fromiter((known.of(w) for x in ws for w in x), np.int64, int(n_words.sum()))
+        wdoc = np.repeat(np.arange(n), n_words)
+        both, own, counts = np.unique(wdoc << 31 | codes, return_inverse=True, return_counts=True)
+        udoc, ucode = both >> 31, both & (1 << 31) - 1
+        start = np.frombuffer(known.start, np.int64)
+        sizes = np.diff(start)[ucode]
+        total = np.bincount(udoc, sizes * counts, n)
+        take = np.repeat(start[ucode] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
+        flat = np.frombuffer(known.flat, np.int32) if len(known.flat) else np.zeros(0, np.int32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lack = np.log2(total) - _entropies(np.repeat(udoc, sizes), flat[take].astype(np.int64), np.repeat(counts, sizes), n)
+            per_word = total / n_words
+        names = sorted(known.names, key=known.names.get)
+        rank = np.argsort(np.argsort(names)) if names else np.zeros(0, np.int64)
+        votes = np.bincount(udoc * max(len(names), 1) + (np.array(known.script, np.int64)[ucode] if len(ucode) else ucode), counts, n * max(len(names), 1)).reshape(n, -1)
+        winner = np.lexsort((np.broadcast_to(rank, votes.shape), votes), axis=1)[:, -1] if names else np.zeros(n, np.int64)
+        screened = (n_words < LEAST_WORDS) | ~(lack >= least_lack(share, np.maximum(per_word, share)) - 1e-9)
+        first = np.searchsorted(udoc, np.arange(n))
+        edge = np.r_[0, np.cumsum(n_words)]
+        last = []
+        for i in range(n):
+            mine = slice(edge[i], edge[i + 1])
+            if not n_words[i]:
+                last.append(None if last_is == "codes" else 0.0)
+            elif screened[i] and last_is != "every":
+                last.append(None)
+            elif last_is == "codes":
+                last.append((own[mine] - first[i]).astype(np.int32))
+            else:
+                last.append(repeated_words(codes[mine]) / n_words[i])
+        some = n_words > 0
+        null = lambda v, ok: pa.array(v.astype(float), pa.float64(), mask=~ok)
+        chars = np.array([len(t) if t else 0 for t in texts], float)
+        cols = [
+            pa.array(ids, pa.int64()), pa.array([names[k] if ok else None for k, ok in zip(winner, some)], pa.string()), pa.array(n_words.astype(np.int32)), pa.array(n_raw.astype(np.int32)),
+            null(chars / np.maximum(n_raw, 1), ~none), null(byte / np.maximum(n_raw, 1), ~none), null(raw_entropy, ~none), null(per_word, some), null(lack, some), pa.array(screened | ~some),
+            pa.array(last, pa.list_(pa.int32()) if last_is == "codes" else pa.float64()),
+        ]
+        return pa.RecordBatch.from_arrays(cols, [*(x.split()[0] for x in MEASURES.split(", ")), "last"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = shipped(vocabulary.value)
-        number: dict[str, int] = {}
-        tokens: list[np.ndarray] = []
-        scripts: list[str] = []
+        known = _Words(shipped(vocabulary.value))
         for batch in batches:
-            if len(number) > 400_000:
-                number, tokens, scripts = {}, [], []
-            rows, last = [], []
+            if len(known.number) > 400_000:
+                known = _Words(known.enc)
+            ids, texts, ws, held = [], [], [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                ws = WORD.findall(text.lower()) if text else []
-                n = len(ws)
-                ids = array("i")
-                if text:
-                    enc.encode_into(text, ids)
-                raw = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32)
-                whole = (len(raw), len(text) / len(raw), float((raw < 256).mean()), _entropy(np.unique(raw, return_counts=True)[1])) if len(raw) else (0, None, None, None)
-                if not n:
-                    rows.append((i, None, 0, *whole, None, None, True))
-                    last.append(None if last_is == "codes" else 0.0)
-                    continue
-                codes = np.empty(n, np.int32)
-                for j, w in enumerate(ws):
-                    c = number.get(w)
-                    if c is None:
-                        c = number[w] = len(tokens)
-                        tokens.append(np.array(enc.bpe.encode_ordinary(" " + w), np.int32))
-                        scripts.append(_script(w))
-                    codes[j] = c
-                kinds, own, counts = np.unique(codes, return_inverse=True, return_counts=True)
-                sizes = np.array([len(tokens[k]) for k in kinds])
-                total = int((sizes * counts).sum())
-                _, at = np.unique(np.concatenate([tokens[k] for k in kinds]), return_inverse=True)
-                lack = float(np.log2(total)) - _entropy(np.bincount(at, weights=np.repeat(counts, sizes)))
-                names: dict[str, int] = {}
-                for k, m in zip(kinds.tolist(), counts.tolist()):
-                    names[scripts[k]] = names.get(scripts[k], 0) + m
-                rows.append((i, max(names, key=lambda x: (names[x], x)), n, *whole, total / n, lack, screened := bool(n < LEAST_WORDS or lack < least_lack(share, total / n) - 1e-9)))
-                if screened and last_is != "every":
-                    last.append(None)
-                else:
-                    last.append(own.astype(np.int32).tolist() if last_is == "codes" else repeated_words(codes) / n)
-            cols = list(zip(*rows)) if rows else [[]] * 10
-            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(cols, types)), pa.array(last, pa.list_(pa.int32()) if last_is == "codes" else pa.float64())], [*(x.split()[0] for x in MEASURES.split(", ")), "last"])
+                ids.append(i), texts.append(text), ws.append(WORD.findall(text.lower()) if text else [])
+                held += len(text or "")
+                if held > AT_ONCE:
+                    yield rows(ids, texts, ws, known)
+                    ids, texts, ws, held = [], [], [], 0
+            if ids:
+                yield rows(ids, texts, ws, known)
 
     return run
 

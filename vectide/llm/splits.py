@@ -3,9 +3,9 @@
 Groups are connected components of the link table (hash-to-min); a user without a link is a group of its own.
 A group draws its split by weighted rendezvous hashing: the split with the largest -share / ln(u), u a hash of
 group and split, wins, so a group's split does not depend on other groups. A group that holds more than
-HEAVY_SHARE of all rows would upset the shares, whatever it draws; there are at most 1 / HEAVY_SHARE such
-groups, and they are settled first, largest first, each going to the split that still lacks most rows. The
-other groups then draw with what is left of the shares.
+HEAVY_SHARE of all rows could upset the shares; there are at most 1 / HEAVY_SHARE such groups, and they draw first,
+largest first, with bounded loads: a group takes the best of its draws among the splits that still have room for it,
+or the roomiest if none has. The other groups then draw with what is left of the shares.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from vectide.llm.components import components
 from vectide.session import Scratch
 
 HEAVY_SHARE = 0.002
+MOST_SPLITS = 1000
 
 
 def user_groups(users: DataFrame, user: str, links: DataFrame, a: str, b: str) -> DataFrame:
@@ -26,13 +27,17 @@ def user_groups(users: DataFrame, user: str, links: DataFrame, a: str, b: str) -
     return named.join(linked.withColumnRenamed("node", "user"), "user", "left").select("user", F.coalesce("root", "user").alias("grp"))
 
 
-def rendezvous(group: Column, shares: dict[str, float]) -> Column:
-    """The split of a group; a split of share 0 is drawn by none."""
+def draws(group: Column, shares: dict[str, float]) -> Column:
+    """(score, split) of a group for each split; a split of share 0 is drawn by none."""
     drawn = []
     for name, share in sorted(shares.items()):
         u = (F.pmod(F.xxhash64(group, F.lit(name)), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
         drawn.append(F.struct((-F.lit(float(share)) / F.log(u)).alias("score"), F.lit(name).alias("split")))
-    return F.array_max(F.array(*drawn))["split"]
+    return F.array(*drawn)
+
+
+def rendezvous(group: Column, shares: dict[str, float]) -> Column:
+    return F.array_max(draws(group, shares))["split"]
 
 
 def assign_splits(rows: DataFrame, row_id: str, user: str, links: DataFrame, a: str, b: str, targets: DataFrame) -> DataFrame:
@@ -43,7 +48,9 @@ def assign_splits(rows: DataFrame, row_id: str, user: str, links: DataFrame, a:
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "splits")
-    shares = {r["split"]: float(r["share"]) for r in targets.where("share > 0 and split is not null").limit(1000).collect()}
+    shares = {r["split"]: float(r["share"]) for r in targets.where("share > 0 and split is not null").limit(MOST_SPLITS + 1).collect()}
+    if len(shares) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
     if not shares:
         raise ValueError("targets has no split with a positive share")
     whole = sum(shares.values())
@@ -53,11 +60,11 @@ def assign_splits(rows: DataFrame, row_id: str, user: str, links: DataFrame, a:
     per_user = r.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
     sized = scratch.write(groups.join(per_user, "user").groupBy("grp").agg(F.sum("n").alias("n")))
     total = r.count()
-    heavy = sized.where(F.col("n") > HEAVY_SHARE * total).orderBy(F.desc("n"), "grp").collect()  # at most 1 / HEAVY_SHARE rows
+    heavy = sized.where(F.col("n") > HEAVY_SHARE * total).select("grp", "n", F.reverse(F.array_sort(draws(F.col("grp"), shares))).alias("drawn")).orderBy(F.desc("n"), "grp").collect()  # at most 1 / HEAVY_SHARE rows
     lack = {s: x * total for s, x in shares.items()}
     settled = {}
     for g in heavy:
-        s = max(sorted(lack), key=lambda x: lack[x])
+        s = next((x["split"] for x in g["drawn"] if lack[x["split"]] >= g["n"]), max(sorted(lack), key=lambda x: lack[x]))
         settled[g["grp"]] = s
         lack[s] -= g["n"]
     rest = {s: max(0.0, x) for s, x in lack.items()}
