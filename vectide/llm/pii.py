@@ -114,6 +114,10 @@ def may_hold_email(low: str) -> bool:
     return "@" in low or "＠" in low or "dot" in low or "punto" in low or "&#64;" in low or "&commat;" in low or "arroba" in low or "(at)" in low or "[at]" in low or "{at}" in low or "<at>" in low
 
 
+def may_hold_joint(low: str) -> bool:
+    return ("stra" in low or "gasse" in low or "weg" in low or "platz" in low or "allee" in low) and JOINT.search(low) is not None
+
+
 def squeeze(item: str) -> str:
     return KEEP.sub("", item.lower())
 
@@ -227,8 +231,8 @@ def head_tail(text: str, m: re.Match, towns: set[str]) -> tuple[int, str | None]
     return end, proof
 
 
-def observe(text: str, given: set[str], family: set[str], seen: Counter) -> None:
-    """Adds to seen what one text teaches."""
+def observe(text: str, given: set[str], family: set[str], heads: set[str], seen: Counter) -> None:
+    """Adds to seen what one text teaches; heads are the first words of family names of several words."""
     def sighted(kind: str, m: re.Match) -> None:
         cs = contexts(text, m.start())
         for c in cs:
@@ -251,7 +255,7 @@ def observe(text: str, given: set[str], family: set[str], seen: Counter) -> None
             for m in pattern.finditer(text):
                 for c in contexts(text, m.start()):
                     seen[f"\x01{kind}\x01{c}"] += 1
-    if DIGIT.search(text) and (not STREET_WORDS.isdisjoint(low) or JOINT.search(text)):
+    if DIGIT.search(text) and (not STREET_WORDS.isdisjoint(low) or may_hold_joint(lower)):
         for m in HEAD.finditer(text):
             street = (m["street"] or m["calle"] or "").lower()
             _, town = head_tail(text, m, set())
@@ -267,7 +271,7 @@ def observe(text: str, given: set[str], family: set[str], seen: Counter) -> None
             if kind := address_form(m):
                 cs = contexts(text, m.start())
                 seen[f"\x01form\x01address:{kind}\x01{cs[0] if cs else ''}"] += 1
-    if given.isdisjoint(low) and family.isdisjoint(low) and not any(" " in f and f.split()[0] in low for f in family):
+    if given.isdisjoint(low) and family.isdisjoint(low) and heads.isdisjoint(low):
         return
     toks = _tokens(text, given, family)
     for t in toks:
@@ -302,12 +306,13 @@ def observe(text: str, given: set[str], family: set[str], seen: Counter) -> None
 def learn(posts: DataFrame, text: str, names: list[tuple[str, str]]) -> Knowledge:
     """One pass over all texts; counts are summed per term by partial aggregates, and only terms of enough support come back."""
     given, family = lexicon(names)
+    heads = {f.split()[0] for f in family if " " in f}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for pdf in batches:
             for t in pdf["t"]:
-                observe(t, given, family, seen)
+                observe(t, given, family, heads, seen)
             if len(seen) > 500_000:
                 yield pd.DataFrame({"k": list(seen), "n": list(seen.values())})
                 seen = Counter()
@@ -414,7 +419,7 @@ def spans(text: str, k: Knowledge) -> list[tuple[int, int, str]]:
             if k.protects("email", text, m):
                 add(m.start(), m.end(), "email")
     if DIGIT.search(text):
-        if not STREET_WORDS.isdisjoint(kinds) or JOINT.search(text):
+        if not STREET_WORDS.isdisjoint(kinds) or may_hold_joint(lower):
             for m in HEAD.finditer(text):
                 street = (m["street"] or m["calle"] or "").lower()
                 kind = address_form(m)
