@@ -156,11 +156,27 @@ def tree_edges(x: np.ndarray) -> np.ndarray:
     return np.sort(out)
 
 
+def middles(top: float, n: int) -> np.ndarray:
+    """The middles of n equal bins up to top."""
+    return (np.arange(n) + 0.5) * top / n
+
+
+def diagram(x: np.ndarray) -> list[tuple[float, float]]:
+    """(birth, death) of every connected component as balls grow; all are born at 0, one never dies."""
+    return [(0.0, float(d)) for d in tree_edges(x)] + [(0.0, math.inf)] * (len(x) > 0)
+
+
+def betti(intervals: list[tuple[float, float]], radii: np.ndarray) -> list[int]:
+    """How many components live at each radius."""
+    b, d = (np.array(v, float) for v in zip(*intervals)) if intervals else (np.zeros(0), np.zeros(0))
+    return [int(((b <= r) & (d > r)).sum()) for r in radii]
+
+
 def topology(x: np.ndarray, radii: int = 20, threshold: float = 0.0) -> dict:
     """Components that outlive threshold (the one that never dies counts), total, largest and mean lifetime, their entropy, and Betti numbers at the middles of equal bins."""
     death = tree_edges(x)
     total = float(death.sum())
     top = float(death.max()) if len(death) else 0.0
     p = death[death > 0] / total if total > 0 else np.zeros(0)
-    mids = (np.arange(radii) + 0.5) * top / radii
-    return {"n_components": int((death > threshold).sum()) + (len(x) > 0), "total_persistence": total, "max_persistence": top, "mean_persistence": float(death.mean()) if len(death) else 0.0, "entropy": float(-(p * np.log(p)).sum()), "betti": [int((death > r).sum()) + (len(x) > 0) for r in mids]}
+    mids = middles(top, radii)
+    return {"n_components": int((death > threshold).sum()) + (len(x) > 0), "total_persistence": total, "max_persistence": top, "mean_persistence": float(death.mean()) if len(death) else 0.0, "entropy": float(-(p * np.log(p)).sum()), "radii": mids.tolist(), "betti": betti(diagram(x), mids)}

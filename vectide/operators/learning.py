@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -102,28 +102,54 @@ def class_terms(docs: DataFrame, label: str, text: str, most: int = 5) -> DataFr
 def binary_metrics(scored: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """One row: n, auc (ties count half), precision, recall, f1. Ranks come from counts per score, not from one sorted task; null if undefined."""
     per = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    return _metrics(per, [], threshold)
+
+
+def _metrics(per: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """Metrics from the positives p and negatives q of each score s, one row per group of by."""
     # running sums by range: bucket totals first, then within buckets
     bucketed = per.withColumn("b", F.floor(F.col("s") * 1000))
-    totals = bucketed.groupBy("b").agg(F.sum("q").alias("bq"))
-    below = totals.withColumn("under", F.coalesce(F.sum("bq").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("b", "under")
-    inner = F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = bucketed.withColumn("inner", inner).join(below, "b").withColumn("less", F.col("inner") + F.col("under"))
+    totals = bucketed.groupBy(*by, "b").agg(F.sum("q").alias("bq"))
+    all_before = Window.partitionBy(*by).orderBy("b") if by else Window.orderBy("b")  # one row a bucket
+    below = totals.withColumn("under", F.coalesce(F.sum("bq").over(all_before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*by, "b", "under")
+    inner = F.coalesce(F.sum("q").over(Window.partitionBy(*by, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = bucketed.withColumn("inner", inner).join(below, [*by, "b"]).withColumn("less", F.col("inner") + F.col("under"))
     hit = F.col("s") >= threshold
-    a = r.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"), F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)).alias("u"), F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("q")).otherwise(0)).alias("fp"))
+    a = r.groupBy(*by).agg(F.sum("p").alias("np"), F.sum("q").alias("nq"), F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)).alias("u"), F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("q")).otherwise(0)).alias("fp"))
     prec, rec = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", "np")
-    return a.select((F.col("np") + F.col("nq")).alias("n"), F.try_divide("u", F.col("np") * F.col("nq")).alias("auc"), prec.alias("precision"), rec.alias("recall"), F.try_divide(2 * prec * rec, prec + rec).alias("f1"))
+    return a.select(*by, (F.col("np") + F.col("nq")).alias("n"), F.try_divide("u", F.col("np") * F.col("nq")).alias("auc"), prec.alias("precision"), rec.alias("recall"), F.try_divide(2 * prec * rec, prec + rec).alias("f1"))
+
+
+MODULUS = 2_147_483_647
 
 
-def bootstrap_mean(rows: DataFrame, value: str, rounds: int = 200, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """One row: low, high of the mean's percentile interval. Each row gets a Poisson(1) weight per round, so every round is one partial aggregate."""
-    base = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
-    per = base.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("u", F.rand(seed))
-    # Poisson(1) by its cumulative probabilities
-    w = F.when(F.col("u") < 0.36788, 0).when(F.col("u") < 0.73576, 1).when(F.col("u") < 0.91970, 2).when(F.col("u") < 0.98101, 3).when(F.col("u") < 0.99634, 4).otherwise(5)
+def poisson_weight(key: Column, turn: Column) -> Column:
+    """A Poisson(1) weight that depends on key and turn alone, so that a lost task gives the same again: 0 to 5 by the cumulative chances."""
+    a = F.pmod(F.pmod(key, F.lit(MODULUS)) * 48271 + turn * 69621, F.lit(MODULUS))
+    u = F.pmod(a * a, F.lit(MODULUS)) / MODULUS
+    return F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
+
+
+def bootstrap_mean(rows: DataFrame, value: str, rounds: int = 200, level: float = 0.95, key: str | None = None) -> DataFrame:
+    """One row: low, high of the mean's percentile interval. Each row gets a Poisson(1) weight per round, from key (a number; else a hash of the whole row), so every round is one partial aggregate."""
+    base = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), (F.col(key).cast("long") if key else F.xxhash64(*rows.columns)).alias("k"))
+    per = base.groupBy("x", "k").agg(F.count(F.lit(1)).alias("m")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    w = poisson_weight(F.col("k"), F.col("round").cast("long")) * F.col("m")
     means = per.withColumn("w", w).groupBy("round").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
 
 
+def bootstrap_metrics(scored: DataFrame, label: str, score: str, key: str, rounds: int = 200, threshold: float = 0.5, level: float = 0.95) -> DataFrame:
+    """metric, mean, low, high of auc, precision, recall and f1 over rounds of Poisson(1) weights; rounds without both classes are left out, undefined precision and f1 count as 0."""
+    known = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(score).alias("s"), F.col(label).alias("y"), F.col(key).cast("long").alias("k"))
+    w = poisson_weight(F.col("k"), F.col("round").cast("long"))
+    each = known.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", w).where("w > 0")
+    per = each.groupBy("round", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("q"))
+    m = _metrics(per, ["round"], threshold).where("auc is not null").select("auc", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
+    long = m.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in m.columns])).alias("e")).select("e.*")
+    return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", (1 - level) / 2).alias("low"), F.percentile("v", (1 + level) / 2).alias("high"))
+
+
 def stratified_split(users: DataFrame, user: str, label: str, share: float = 0.8) -> DataFrame:
     """user, label, split: the first share of each label's users by hash to train, the others to test (a rank by range within the label, so shares are kept)."""
     u = users.select(F.col(user).alias("user"), F.col(label).alias("label")).distinct()

@@ -94,9 +94,19 @@ def trajectory_search(points: DataFrame, recent: Sequence[Sequence[float]], k: i
 def topology(points: DataFrame, radii: int = 20, threshold: float = 0.0) -> DataFrame:
     def kernel(t, x):
         f = patterns.topology(x, radii, threshold)
-        return [tuple(f[c] for c in ("n_components", "total_persistence", "max_persistence", "mean_persistence", "entropy", "betti"))]
+        return [tuple(f[c] for c in ("n_components", "total_persistence", "max_persistence", "mean_persistence", "entropy", "radii", "betti"))]
 
-    return per_entity(points, kernel, "n_components int, total_persistence double, max_persistence double, mean_persistence double, entropy double, betti array<int>")
+    return per_entity(points, kernel, "n_components int, total_persistence double, max_persistence double, mean_persistence double, entropy double, radii array<double>, betti array<int>")
+
+
+def persistence(points: DataFrame) -> DataFrame:
+    """entity_id, birth, death (infinite for one) of each trajectory's connected components."""
+    return per_entity(points, lambda t, x: patterns.diagram(x), "birth double, death double")
+
+
+def betti_curve(points: DataFrame, radii: Sequence[float]) -> DataFrame:
+    """entity_id, radius, betti: how many connected components each trajectory has at given radii."""
+    return per_entity(points, lambda t, x: list(zip(map(float, radii), patterns.betti(patterns.diagram(x), np.asarray(radii, float)))), "radius double, betti int")
 
 
 def plane(points: DataFrame) -> DataFrame:

@@ -31,4 +31,4 @@ PTS = """with pts as (select e.event_id as node_id, e.user_id as entity_id, epoc
  from events e join embeddings v on e.event_id % (select count(*) from embeddings) = v.vec_id)
 """
 
-from vectide.plans import catalogue_graph, catalogue_mining, catalogue_search, catalogue_series, catalogue_stream  # noqa: E402, F401
+from vectide.plans import catalogue_graph, catalogue_mining, catalogue_more, catalogue_search, catalogue_series, catalogue_stream  # noqa: E402, F401

@@ -170,11 +170,6 @@ def binary_metrics(spark, d):
     return m.select("n", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
 
 
-@query()
-def bootstrap_interval(spark, d):
-    return learning.bootstrap_mean(table(spark, d, "events"), "value", 100)
-
-
 @query("select split, label, cast(case when split = 'train' then ceil(0.8 * n) else n - ceil(0.8 * n) end as bigint) as n_users from (select case when event_type in ('view', 'click') then 'a' else 'b' end as label, count(distinct user_id) as n from events group by 1), (select unnest(['train', 'test']) as split)")
 def stratified_split(spark, d):
     u = table(spark, d, "events").select("user_id", F.when(F.col("event_type").isin("view", "click"), "a").otherwise("b").alias("label"))

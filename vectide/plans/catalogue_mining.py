@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from vectide.functions import vectors
 from vectide.operators import cohort, mining, regions
-from vectide.plans.catalogue import PTS, query
+from vectide.plans.catalogue import PTS, SQL, query
+from vectide.plans import catalogue_series  # noqa: F401
 from vectide.session import table
 from vectide.sources.points import derived, ingested
 
 DAY = 86_400_000_000
+PAIR_JOIN = SQL['temporal_join'].replace('select distinct entity_id from pts) where entity_id % 2 = 1', 'select distinct entity_id from pts) where entity_id = 1').replace('select a, b, min(lo)', 'select min(lo)').replace(', max(na) as points_a, max(nb) as points_b', ', count(*) over () as n_windows')
 
 
 def _pairs(p):
@@ -84,7 +86,11 @@ def trajectory_search(spark, d):
     return mining.trajectory_search(p, recent, 5).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(f"""{PTS.replace('with ', 'with recursive ', 1)}, g as materialized (select entity_id, list(vector order by t, node_id) as vs, count(*)::int as n from pts group by 1),
+r as (select entity_id, 1 as step, list_transform(range(1, n + 1), lambda i: case when i = 1 then null else list_distance(vs[1], vs[i])::double end) as near, []::double[] as death from g
+union all select entity_id, step + 1, list_transform(range(1, n + 1), lambda i: case when near[i] is null or i = place then null else least(near[i], list_distance(vs[place], vs[i])::double) end), list_append(death, low) from (select r.*, g.vs, g.n, list_min(near) as low, list_position(near, list_min(near)) as place from r join g using (entity_id) where step < n)),
+f as (select entity_id, death, list_sum(death) as total from r join g using (entity_id) where step = n)
+select entity_id, (len(list_filter(death, lambda x: x > 0)) + 1)::int as n_components, round(coalesce(total, 0), 6) as total_persistence, round(coalesce(list_max(death), 0), 6) as max_persistence, round(coalesce(list_avg(death), 0), 6) as mean_persistence, round(coalesce(list_sum(list_transform(list_filter(death, lambda x: x > 0), lambda x: -x / total * ln(x / total))), 0), 6) as entropy from f""")
 def topology(spark, d):
     t = mining.topology(derived(spark, d), 5)
     return t.select("entity_id", "n_components", *[F.round(c, 6).alias(c) for c in ("total_persistence", "max_persistence", "mean_persistence", "entropy")])
@@ -106,7 +112,10 @@ def temporal_features(spark, d):
     return f.select("entity_id", F.size("features").alias("n_features"), at(0, 1e12, 4, "velocity_0"), at(63, 1e12, 4, "velocity_63"), at(64, 1.0, 6, "drift"), at(65, 1e9, 4, "volatility_0"), at(128, 1e9, 4, "volatility_63"), at(131, 1.0, 6, "day_drift"))
 
 
-@query()
+@query(f"""{PTS.replace('with ', 'with recursive ', 1)}, g as materialized (select entity_id, list(vector order by t, node_id) as vs, count(*)::int as n from pts group by 1), pr as materialized (select x.entity_id as a, y.entity_id as b, x.vs as va, y.vs as vb, x.n as n, y.n as m from g x join g y on y.entity_id = x.entity_id + 1 where x.entity_id % 2 = 1),
+r as (select a, b, 0 as k, list_transform(range(1, n + 1), lambda i: case when i = 1 then list_distance(va[1], vb[1])::double else 'infinity'::double end) as cur, list_transform(range(1, n + 1), lambda i: 'infinity'::double) as prev from pr
+union all select r.a, r.b, k + 1, list_transform(range(1, n + 1), lambda i: case when k + 3 - i between 1 and m then greatest(list_distance(va[i], vb[k + 3 - i])::double, least(cur[i], cur[i - 1], prev[i - 1])) else 'infinity'::double end), cur from r join pr using (a, b) where k < n + m - 2)
+select a, b, round(cur[n], 6) as distance from r join pr using (a, b) where k = n + m - 2""")
 def frechet(spark, d):
     p = derived(spark, d)
     return mining.frechet(p, _pairs(p)).withColumn("distance", F.round("distance", 6))
@@ -148,11 +157,23 @@ def procrustes(spark, d):
     return cohort.apply_procrustes(p, "vector", fit).select("node_id", F.round(F.col("aligned")[0], 6).alias("x"), F.round(F.col("aligned")[63], 6).alias("z"))
 
 
-@query()
+@query(f"""{PTS}, z as (select entity_id, min(t) as first_t, max(t) as last_t, count(*) as n_points, arg_min(vector, struct_pack(a := t, b := node_id)) as v0, arg_max(vector, struct_pack(a := t, b := node_id)) as v1 from pts group by 1),
+l as (select entity_id, list_distance(vector, lag(vector) over w) / nullif(t - lag(t) over w, 0) * 86400000000.0 as speed, lead(t) over w as later, lag(t) over w as p from pts window w as (partition by entity_id order by t, node_id)),
+s as (select entity_id, coalesce(speed, 0) as speed from l where later is null and p is not null)
+select entity_id, first_t, last_t, n_points, round(list_distance(v0, v1), 6) as drift, round(1 - list_inner_product(v0, v1) / (sqrt(list_inner_product(v0, v0)) * sqrt(list_inner_product(v1, v1))), 6) as drift_cosine, case when list_distance(v0, v1) < 0.1 then 'Minimal change' when list_distance(v0, v1) < 0.5 then 'Moderate drift' else 'Significant semantic shift' end as reading, round(list_max(list_transform(list_zip(v0, v1), lambda e: abs(e[1] - e[2]))), 6) as top_change, round(speed, 6) as speed from z join s using (entity_id)""")
 def entity_summary(spark, d):
+    """Without its change points, which change_points lists."""
     from vectide.plans.engine import entity_summaries
 
-    return entity_summaries(derived(spark, d))
+    s = entity_summaries(derived(spark, d))
+    return s.select("entity_id", "first_t", "last_t", "n_points", F.round("drift", 6).alias("drift"), F.round("drift_cosine", 6).alias("drift_cosine"), "reading", F.round(F.abs(F.col("top_dimensions")[0]["change"]), 6).alias("top_change"), F.round("speed", 6).alias("speed"))
+
+
+@query()
+def entity_summary_text(spark, d):
+    from vectide.plans.engine import entity_summaries
+
+    return entity_summaries(derived(spark, d), 1.0).select("entity_id", "n_changes", "summary")
 
 
 @query()
@@ -162,11 +183,19 @@ def anomaly_scan(spark, d):
     return scan(derived(spark, d), 30 * DAY, penalty=1.0)
 
 
-@query()
+@query(PAIR_JOIN)
 def compare_entities(spark, d):
     from vectide.plans.engine import compare_entities as compare
 
-    return compare(derived(spark, d), 1, 2, 1.1, 7 * DAY)
+    c = compare(derived(spark, d), 1, 2, 1.1, 2 * DAY)
+    return c.select("start", "stop", F.round("mean_distance", 6).alias("mean_distance"), F.round("min_distance", 6).alias("min_distance"), "n_windows")
+
+
+@query()
+def compare_causes(spark, d):
+    from vectide.plans.engine import compare_causes as compare
+
+    return compare(derived(spark, d), 1, 2).select("direction", "lag", F.round("f", 4).alias("f"), F.round("effect", 4).alias("effect"))
 
 
 @query("""with m as (select node_id, metadata['model'] as model from ingestpoint where coalesce(metadata['model'], '') <> ''), c as (select node_id, (i - 1) % 8 as k, sum((ascii(substr(model, i, 1)) - 96) * 0.01) as x from m, range(1, 200) r(i) where i <= length(model) group by 1, 2), n as (select node_id, sqrt(sum(x * x)) as n from c group by 1)

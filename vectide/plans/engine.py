@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors
@@ -171,16 +171,44 @@ def execute(points: DataFrame, q: object) -> DataFrame:
     raise ValueError(f"no such query: {type(q).__name__}")
 
 
-def entity_summaries(points: DataFrame, penalty: float | None = None) -> DataFrame:
-    """Per entity: first, last, count, drift from first to last with a word for it, change points, speed at the end (per day)."""
-    line = points.groupBy("entity_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n_points"), F.min_by("vector", F.struct("t", "node_id")).alias("v0"), F.max_by("vector", F.struct("t", "node_id")).alias("v1"))
+def _reading(drift: Column, strong: str) -> Column:
+    return F.when(drift < 0.1, "Minimal change").when(drift < 0.5, "Moderate drift").otherwise(strong)
+
+
+def entity_summaries(points: DataFrame, penalty: float | None = None, start: int | None = None, end: int | None = None, top_n: int = 5) -> DataFrame:
+    """Per entity with a point in [start, end]: first and last time, count, drift from first to last point (L2, cosine, a reading, the dimensions that changed most), change points, speed at the last point (per day), and all that in a sentence.
+
+    Change points need four points or more; the speed is null for one point.
+    """
+    kept = points if start is None else points.where(F.col("t") >= start)
+    kept = kept if end is None else kept.where(F.col("t") <= end)
+    key = F.struct("t", "node_id")
+    line = kept.groupBy("entity_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n_points"), F.min_by("vector", key).alias("v0"), F.max_by("vector", key).alias("v1"))
     w = tr.W()
-    end = points.select("entity_id", "t", "vector", F.lag("vector").over(w).alias("p"), (F.col("t") - F.lag("t").over(w)).alias("dt"), F.lead("t").over(w).alias("later")).where("later is null")
-    speed = end.select("entity_id", F.when(F.col("dt") > 0, vectors.l2("vector", "p") / F.nullif(F.col("dt"), F.lit(0)) * tr.DAY_US).otherwise(0.0).alias("speed"))
-    cps = mining.change_points(points, penalty).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_changes"))
+    last = kept.select("entity_id", "vector", F.lag("vector").over(w).alias("p"), (F.col("t") - F.lag("t").over(w)).alias("dt"), F.lead("t").over(w).alias("later")).where("later is null and p is not null")
+    speed = last.select("entity_id", F.when(F.col("dt") > 0, vectors.l2("vector", "p") / F.nullif(F.col("dt"), F.lit(0)) * tr.DAY_US).otherwise(0.0).alias("speed"))
+    found = mining.change_points(kept, penalty).groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("t", "severity"))).alias("changes"))
+    top = vectors.top_dims(vectors.subtract("v1", "v0"), top_n)
     drift = vectors.l2("v0", "v1")
-    word = F.when(drift < 0.1, "stable").when(drift < 0.5, "moderate drift").otherwise("strong drift")
-    return line.join(speed, "entity_id").join(cps, "entity_id", "left").select("entity_id", "first_t", "last_t", "n_points", F.round(drift, 6).alias("drift"), word.alias("reading"), F.coalesce("n_changes", F.lit(0)).alias("n_changes"), F.round("speed", 6).alias("speed"))
+    out = line.join(speed, "entity_id", "left").join(found, "entity_id", "left").select(
+        "entity_id", "first_t", "last_t", "n_points", drift.alias("drift"), vectors.cosine_distance("v0", "v1").alias("drift_cosine"), _reading(drift, "Significant semantic shift").alias("reading"), top.alias("top_dimensions"),
+        F.coalesce("changes", F.array().cast("array<struct<t:bigint,severity:double>>")).alias("changes"), "speed",
+    )
+    said = F.format_string("Entity %d has %d points spanning %d to %d. %s. L2 drift: %.4f. %d change point(s) detected.", "entity_id", "n_points", "first_t", "last_t", "reading", "drift", F.size("changes"))
+    return out.withColumn("n_changes", F.size("changes")).withColumn("summary", said)
+
+
+def drift_readings(points: DataFrame, t1: int, t2: int, top_n: int = 5) -> DataFrame:
+    """Each entity's drift between the points nearest to two times, with a reading and a sentence."""
+    d = tr.drift(points, t1, t2, top_n)
+    said = F.format_string("Entity %d shows %s (L2=%.4f, cosine=%.4f) between t1 and t2.", "entity_id", "reading", "l2", "cosine")
+    return d.withColumn("reading", _reading(F.col("l2"), "Significant shift")).withColumn("summary", said)
+
+
+def forecasts(points: DataFrame, target: int) -> DataFrame:
+    """Each entity's linear forecast, with its size and a sentence."""
+    p = tr.predict_linear(points, target)
+    return p.select("entity_id", F.lit(target).alias("target_t"), F.lit("linear").alias("method"), F.size("prediction").alias("n_dims"), "prediction").withColumn("summary", F.format_string("Predicted position for entity %d at t=%d using linear extrapolation (%d-dim vector).", "entity_id", "target_t", "n_dims"))
 
 
 def anomaly_scan(points: DataFrame, lookback_us: int = WEEK_US, penalty: float | None = None) -> DataFrame:
@@ -191,11 +219,15 @@ def anomaly_scan(points: DataFrame, lookback_us: int = WEEK_US, penalty: float |
 
 
 def compare_entities(points: DataFrame, a: int, b: int, epsilon: float = 0.5, window_us: int = WEEK_US) -> DataFrame:
-    """One row: how many convergence windows, the least distance in them, and the causal reading."""
-    pair = _pair(points, a, b)
-    met = joins.temporal_join(pair, points, epsilon, window_us).agg(F.count(F.lit(1)).alias("n_windows"), F.round(F.min("min_distance"), 6).alias("min_distance"))
-    cause = mining.granger(points.withColumn("vector", F.slice("vector", 1, 8)), pair, 2).select("direction", "lag")
-    return F.broadcast(met).crossJoin(cause)
+    """start, stop, mean_distance, min_distance of each convergence window of two entities, with a sentence on all of them; none gives no row."""
+    met = joins.temporal_join(_pair(points, a, b), points, epsilon, window_us).select("start", "stop", "mean_distance", "min_distance")
+    n = F.broadcast(met.agg(F.count(F.lit(1)).alias("n_windows")))  # one row
+    return met.crossJoin(n).withColumn("summary", F.format_string(f"Found %d convergence window(s) between entities {a} and {b}.", "n_windows"))
+
+
+def compare_causes(points: DataFrame, a: int, b: int, max_lag: int = 5) -> DataFrame:
+    """Whether one of two entities leads the other, over whole vectors."""
+    return mining.granger(points, _pair(points, a, b), max_lag)
 
 
 def cohort_reading(drift: DataFrame) -> DataFrame:
