@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from compare import norm
-from vectide.llm import components, overlap, packing, pii, queries, repetition, splits, tokens, vectors
+from vectide.llm import components, overlap, packed, packing, pii, queries, repetition, splits, tokens, vectors
 from vectide.llm.words import words
 
 duckdb = pytest.importorskip("duckdb")
@@ -259,6 +259,80 @@ def test_large_cell_keeps_links(spark, monkeypatch):
     assert {r["rep"]: r["root"] for r in vectors.similarity_groups(c, 0.3).collect()} == want
 
 
+def mixed_vectors(n, seed, dim=64):
+    """Noise, lone pairs at every distance up to the radius, small groups and one hot group of near-copies."""
+    rng = np.random.default_rng(seed)
+    unit = lambda z: z / np.linalg.norm(z, axis=-1, keepdims=True)
+    noise = unit(rng.standard_normal((3 * n // 5, dim)))
+    c = unit(rng.standard_normal((n // 12, dim)))
+    step = unit(rng.standard_normal(c.shape)) * np.sqrt(rng.uniform(0.01, 0.15, (len(c), 1)))
+    pairs = np.vstack([c, c + step])
+    hot = unit(rng.standard_normal(dim)) + 0.02 * rng.standard_normal((n - len(noise) - len(pairs), dim))
+    x = np.round(np.vstack([noise, pairs, hot]) * 256) / 256
+    return x[rng.permutation(len(x))]
+
+
+def true_pairs(x, r2=0.3):
+    y = x.astype(np.float32)
+    n2, out = (y * y).sum(1), []
+    for a in range(0, len(y), 1024):
+        i, j = np.nonzero(n2[a : a + 1024, None] + n2 - 2 * y[a : a + 1024] @ y.T <= r2 + 1e-3)
+        i = i + a
+        keep = (i < j) & (((x[i] - x[j]) ** 2).sum(1) <= r2)
+        out += zip(i[keep].tolist(), j[keep].tolist())
+    return out
+
+
+@pytest.mark.parametrize(("n", "chunk", "sample", "leaf"), [(700, 8192, 32768, 192), (3000, 8192, 32768, 192), (700, 64, 32768, 32), (1500, 8192, 100, 8)])
+def test_links_at_any_scale(spark, monkeypatch, n, chunk, sample, leaf):
+    """Small and larger collections, cut cells, and cells crossed over two levels: components as by brute force."""
+    for name, value in (("CHUNK", chunk), ("SAMPLE", sample), ("LEAF", leaf)):
+        monkeypatch.setattr(vectors, name, value)
+    x = mixed_vectors(n, n)
+    df = spark.createDataFrame([(i, v.tolist(), "x", 0) for i, v in enumerate(x)], VEC)
+    c = vectors.Collection(df, "sequence", "vector", 64, 6)
+    first = {tuple(v): i for i, v in reversed(list(enumerate(x.tolist())))}
+    rep = [first[tuple(v)] for v in x.tolist()]
+    links = [(rep[a], rep[b]) for a, b in true_pairs(x) if rep[a] != rep[b]]
+    want = brute_components(links)
+    got = {r["rep"]: r["root"] for r in vectors.similarity_groups(c, 0.3).collect()}
+    if sample == 32768:
+        lost = sum(got.get(a, -1) != got.get(b, -2) for a, b in links) / len(links)
+        assert lost <= 0.001 and all(want[a] == want[b] for a, b in got.items())
+    else:  # crossed cells lose more of the pairs that stand alone, nothing else
+        assert np.mean([got.get(a, -1) == got.get(b, -2) for a, b in links]) >= 0.9
+    near = vectors.neighbours_within(c, 5, 0.3).toPandas()
+    true = sorted((a, round(float(((x[a] - x[b]) ** 2).sum()), 9), b) for p in true_pairs(x) for a, b in (p, p[::-1]))
+    best = [t for i, t in enumerate(true) if i < 5 or true[i - 5][0] != t[0]]
+    mine = set(zip(near["id"], near["d2"].round(9), near["other"]))
+    assert len(mine & set(best)) >= (0.999 if sample == 32768 else 0.9) * len(best) and len(mine) <= len(best)
+    members, described = vectors.clusters(c, 0.3)
+    sets = {}
+    for a, b in true_pairs(x):
+        sets.setdefault(a, {a}).add(b), sets.setdefault(b, {b}).add(a)
+    good = {a: min(s) for a, s in sets.items() if all(sets[b] == s for b in s)}
+    found = {r["id"]: r["cluster_key"] for r in members.collect()}
+    assert sum(found.get(a) == k for a, k in good.items()) >= (0.998 if sample == 32768 else 0.85) * len(good)
+    if sample == 32768:
+        sizes = Counter(found.values())
+        assert {r["cluster_key"]: r["n_records"] for r in described.collect()} == dict(sizes)
+
+
+def test_nearest_of_many_recall(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ASKED", 40)  # several blocks
+    x = mixed_vectors(4000, 8)
+    df = spark.createDataFrame([(i, v.tolist(), "x", 0) for i, v in enumerate(x)], VEC)
+    c = vectors.Collection(df, "sequence", "vector", 64, 6)
+    asked = list(range(0, 4000, 50))
+    got = vectors.nearest_of(c, spark.createDataFrame([(i,) for i in asked], "id long"), 5).toPandas()
+    hit = 0
+    for i in asked:
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(set(np.lexsort((np.arange(len(x)), d))[:5]) & set(got[got["id"] == i]["other"]))
+    assert (got.groupby("id").size() == 5).all() and hit >= 0.95 * 5 * len(asked)
+
+
 def test_search_recall():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((6000, 64)).astype(np.float32)
@@ -313,6 +387,35 @@ def test_overlap_brute(spark, t, size, least):
     assert run_pairs(spark, rows, t, size, least) == brute_pairs(rows, t, size, least)
 
 
+def test_overlap_hot_ranges(spark, monkeypatch):
+    """Ranges of shingles that are cut into parts, blocks of a few postings, tables merged in levels: the same pairs."""
+    for name, value in (("MOST", 40), ("AT_ONCE", 30), ("FAN_IN", 2), ("RAW", 500)):
+        monkeypatch.setattr(overlap, name, value)
+    rng = random.Random(7)
+    stem = [f"s{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        w = list(stem)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(30)] = f"v{rng.randrange(9)}"
+        rows.append((i, rng.choice(["train", "eval"]), " ".join(w)))
+    rows += [(900, "train", " ".join(stem)), (901, "eval", " ".join(stem)), (900, "train", "zzz " * 30)]
+    best = {}
+    for i, s, t in rows:
+        best[i] = (i, s, min(t.strip(), best[i][2]) if i in best else t.strip())
+    assert run_pairs(spark, rows, 0.5, 3, 20) == brute_pairs(list(best.values()), 0.5, 3, 20)
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(1)
+    a, b = np.sort(rng.integers(0, 2**40, 500)), rng.integers(0, 3, 500)
+    assert all((x == y).all() for x, y in zip(packed.unpack_sorted(packed.pack_sorted(a, b)), (a, b)))
+    assert [len(x) for x in packed.unpack(packed.pack(a[:0], b[:0]))] == [0, 0] and packed.unsquash(packed.squash(b"")) == b""
+    x = rng.standard_normal((7, 5)).astype(np.float32)
+    ints, y = vectors.unpack_rows(vectors.pack_rows([np.arange(-3, 4)], x), 5)
+    assert (ints[0] == np.arange(-3, 4)).all() and (x == y).all()
+
+
 def test_overlap_empty(spark):
     assert run_pairs(spark, [], 0.5, 3, 20) == set()
 
@@ -337,6 +440,16 @@ def test_encoding_equals_the_library(enc, text):
     assert enc.bpe.decode(enc.encode(text)) == text and "".join(enc.parts(text)) == text
 
 
+def test_long_texts_without_spaces(enc):
+    """Pieces are cut at every forced pair of bytes; ids as by the library's own encoder."""
+    rng = random.Random(5)
+    for alphabet in ("中文字符测试数据", "abcdefXYZ0123+/=", "éàüñ", "אבגד", "a", "1", "ab1 !\n"):
+        t = "".join(rng.choice(alphabet) for _ in range(6000))
+        assert enc.encode(t) == enc.bpe.encode_ordinary(t)
+        assert b"".join(enc.fragments(t.encode())) == t.encode()
+    assert len(enc.fragments("中文字符".encode() * 50)) > 50
+
+
 def test_encode_edge_rows(spark, enc):
     df = spark.createDataFrame([(1, None, [0]), (2, "", [0]), (3, " ", [0]), (3, "<|endoftext|>", [0]), (4, "ab " * 60_000, [0])], "doc_id long, text string, ids array<int>")
     got = [(r["doc_id"], r["ids"]) for r in tokens.encode_corpus(df, "doc_id", "text").collect()]

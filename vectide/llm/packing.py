@@ -23,7 +23,7 @@ ROUNDS = 3
 ELITE_FILL = 0.998
 MIGRANTS = 16  # one in so many elite containers migrates
 POPULATION = 8
-GENERATIONS = 120
+GENERATIONS = 60
 MOST_KINDS = 1000
 PLACED = "container string, bin string, item long, piece int, tokens long, capacity long, elite string"
 SEARCHED = "container string, round int, island long, n_items long, least long, best_fit long, evolved long, crossovers int"
