@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from vectide.functions import distributions, episodes, scoring, vectors
 from vectide.functions.filters import MetadataFilter, TemporalFilter
-from vectide.operators import cohort, graph, joins, learning, lsh, mining, regions, search, storage
+from vectide.kernels import changes
+from vectide.operators import cohort, features, graph, joins, learning, lsh, mining, regions, search, storage
 from vectide.operators import trajectory as tr
 from vectide.operators.search import SearchSpec
 from vectide.plans import engine
@@ -193,6 +194,92 @@ def test_metrics_and_bootstrap(spark):
     assert b["low"] < 4.5 < b["high"]
 
 
+def test_bootstrap_of_metrics(spark):
+    df = spark.range(600).selectExpr("id as k", "cast(id % 3 = 0 as int) as y", "case when id % 3 = 0 then 0.5 + (id % 7) / 20.0 else (id % 11) / 15.0 end as s", "1 as round")
+    m = {r["metric"]: r for r in learning.bootstrap_metrics(df, "y", "s", "k", 30).collect()}
+    whole = one(learning.binary_metrics(df, "y", "s"))
+    assert all(m[c]["low"] <= whole[c] <= m[c]["high"] for c in ("auc", "precision", "f1")) and set(m) == {"auc", "precision", "recall", "f1"}
+    assert learning.bootstrap_metrics(df.where("false"), "y", "s", "k", 3).count() == 0
+
+
+def test_stratified_ranges(spark):
+    df = spark.range(5000).selectExpr("id as u", "case when id % 10 = 0 then null when id % 3 = 0 then 'a' else 'b' end as l", "1 as n")
+    got = {(r["label"], r["split"]): r["count"] for r in learning.stratified_split(df.unionByName(df), "u", "l").groupBy("label", "split").count().collect()}
+    for label, n in ((None, 500), ("a", 1500), ("b", 3000)):
+        assert got[label, "train"] == 0.8 * n and got[label, "test"] == n - 0.8 * n
+
+
+def test_diverse_has_no_bound(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 3))
+    s = (x**2).sum(1)
+    df = spark.createDataFrame([(i, float(s[i]), v.tolist(), 1) for i, v in enumerate(x)], "node_id long, score double, vector array<double>, taken int")
+    want: list[int] = []
+    for i in np.lexsort((np.arange(400), s)):
+        if len(want) < 6 and all(((x[i] - x[j]) ** 2).sum() > s[i] for j in want):
+            want.append(int(i))
+    assert [r["node_id"] for r in search.diverse(df, 6).orderBy("score").collect()] == want
+    assert search.diverse(df.where("false"), 3).count() == 0
+
+
+def test_regions_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((60, 4)), 2)
+    p = points(spark, [(i % 3, i, v.tolist(), None, None) for i, v in enumerate(x)])
+    h = p.where("node_id % 2 = 0").select(F.col("node_id").alias("hub"), F.col("vector").alias("hub_vector"))
+    whole = {r["node_id"]: (r["hub"], round(r["hub_distance"], 9)) for r in regions.assign(p, h).collect()}
+    monkeypatch.setattr(regions, "MOST_HUBS", 16)
+    cut = {r["node_id"]: (r["hub"], round(r["hub_distance"], 9)) for r in regions.assign(p, h).collect()}
+    d = ((x[:, None] - x[None, ::2]) ** 2).sum(-1)
+    assert whole == cut == {i: (int(2 * d[i].argmin()), round(float(d[i].min()), 9)) for i in range(60)}
+
+
+def test_batch_search_by_every_metric(spark):
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((500, 6)), rng.standard_normal((7, 6))
+    x[3], x[4], q[2] = 0, x[5], 0
+    p = points(spark, [(0, i, v.tolist(), None, None) for i, v in enumerate(x)])
+    for metric in ("l2", "dot", "cosine"):
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+        d = {"l2": ((q[:, None] - x) ** 2).sum(-1), "dot": -(q @ x.T), "cosine": np.where(n < 1e-12, 1.0, 1 - (q @ x.T) / np.maximum(n, 1e-300))}[metric]
+        got = {}
+        for r in search.batch_nearest(p, q.tolist(), 4, metric).collect():
+            got.setdefault(r["query"], []).append((round(r["score"], 9), r["node_id"]))
+        for i in range(7):
+            assert [s for s, _ in sorted(got[i])] == sorted(np.round(d[i], 9))[:4]
+    assert search.batch_nearest(p.where("false"), q.tolist(), 4).count() == 0
+
+
+def test_anchor_features(spark):
+    rng = np.random.default_rng(5)
+    x, a = rng.standard_normal((30, 5)), rng.standard_normal((3, 5))
+    p = points(spark, [(1, i * 10, v.tolist(), None, None) for i, v in enumerate(x)] + [(2, 0, x[0].tolist(), None, None)])
+    f = one(features.anchor_features(p, {"low": a[0].tolist(), "high": a[1].tolist()}, a[2].tolist()))
+    unit = lambda z: z / np.linalg.norm(z, axis=-1, keepdims=True)
+    d = 1 - unit(x) @ unit(a).T
+    assert f["n_posts"] == 30 and abs(f["low_mean"] - d[:, 0].mean()) < 1e-12 and abs(f["high_trend"] - np.polyfit(range(30), d[:, 1], 1)[0]) < 1e-12
+    s = unit(x) @ unit(x).T
+    assert abs(f["mean_pairwise_sim"] - s[np.triu_indices(30, 1)].mean()) < 1e-12
+    assert abs(f["anchor_vel_magnitude"] - np.linalg.norm((d[16, :2] - d[14, :2]) / 20)) < 1e-12 and abs(f["dispersion_ratio"] - x[15:].std(0).mean() / x[:15].std(0).mean()) < 1e-6
+    step = 1 - (unit(x)[1:] * unit(x)[:-1]).sum(1)
+    assert abs(f["vel_mean"] - (step / 10).mean()) < 1e-12
+
+
+def test_reference_rules(spark):
+    """Figures that follow from the published rules: decision process, online severity, features, motifs."""
+    e = spark.createDataFrame([(1, 0, 0, "navigate", 1.0), (1, 1, 1, "take", 1.0), (1, 2, 2, "place", 1.0), (2, 0, 0, "navigate", 0.0), (2, 1, 1, "drop", 0.0), (2, 2, 3, "place", 0.0)], "episode_id int, step int, region int, action string, reward double")
+    rate = {(r["region"], r["action"]): r["success"] for r in learning.action_success(e).collect()}
+    assert rate == {(0, "navigate"): 0.5, (1, "take"): 2 / 3, (1, "drop"): 1 / 3}  # the last step leads nowhere
+    assert tuple(one(learning.mdp_stats(e))) == (4, 3, 4)
+    assert {r["region"]: r["hint"] for r in learning.hints(e).collect()}[1] == "Action success rates: take(67%), drop(33%)"
+    d = changes.Online()
+    hit = [d.observe(np.full(2, v)) for v in [0.0] * 10 + [9.0]][-1]
+    assert abs(hit[0] - (1 - np.exp(-np.sqrt(2) * 0.45))) < 1e-12
+    p = points(spark, [(1, t, [float(v)], None, None) for t, v in ((0, 0), (10, 5), (40, 8))])
+    f = one(mining.temporal_features(p))["features"]
+    assert f[0] == 8 / 40 and f[1] == 8.0 and abs(f[2] - np.std([0.5, 0.1], ddof=1)) < 1e-12
+
+
 def test_validation_reasons(spark):
     nan, inf = float("nan"), float("inf")
     p = points(spark, [(1, 0, v, None, None) for v in (None, [], [1.0], [nan, 1.0], [inf, 1.0], [0.0, 0.0], [1.0, 2.0], [None, 1.0])])

@@ -131,10 +131,10 @@ def poisson_weight(key: Column, turn: Column) -> Column:
 
 
 def bootstrap_mean(rows: DataFrame, value: str, rounds: int = 200, level: float = 0.95, key: str | None = None) -> DataFrame:
-    """One row: low, high of the mean's percentile interval. Each row gets a Poisson(1) weight per round, from key (a number; else a hash of the whole row), so every round is one partial aggregate."""
-    base = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), (F.col(key).cast("long") if key else F.xxhash64(*rows.columns)).alias("k"))
-    per = base.groupBy("x", "k").agg(F.count(F.lit(1)).alias("m")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    w = poisson_weight(F.col("k"), F.col("round").cast("long")) * F.col("m")
+    """One row: low, high of the mean's percentile interval. Each row gets a Poisson(1) weight per round, from key, a number of its own (else from its place in the partitions read), so every round is one partial aggregate."""
+    base = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), (F.col(key).cast("long") if key else F.monotonically_increasing_id()).alias("k"))
+    per = base.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    w = poisson_weight(F.col("k"), F.col("round").cast("long"))
     means = per.withColumn("w", w).groupBy("round").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
 
@@ -151,8 +151,16 @@ def bootstrap_metrics(scored: DataFrame, label: str, score: str, key: str, round
 
 
 def stratified_split(users: DataFrame, user: str, label: str, share: float = 0.8) -> DataFrame:
-    """user, label, split: the first share of each label's users by hash to train, the others to test (a rank by range within the label, so shares are kept)."""
-    u = users.select(F.col(user).alias("user"), F.col(label).alias("label")).distinct()
-    w = Window.partitionBy("label").orderBy(F.xxhash64("user"), "user")
-    n = Window.partitionBy("label")
-    return u.withColumn("split", F.when(F.row_number().over(w) <= F.ceil(share * F.count(F.lit(1)).over(n)), "train").otherwise("test"))
+    """user, label, split: the first share of each label's users by hash to train, the others to test.
+
+    Ranks come from counts per label and 4,096 ranges of the hash; only within a range users are put in order, so a
+    label that most users have is no single task.
+    """
+    u = users.select(F.col(user).alias("user"), F.col(label).alias("label")).distinct().withColumn("h", F.xxhash64("user")).withColumn("range", F.shiftright("h", 52))
+    ranges = u.groupBy("label", "range").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("label")
+    before = F.coalesce(F.sum("n").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = ranges.select("label", "range", before.alias("before"), F.ceil(share * F.sum("n").over(w)).alias("train"))
+    placed = u.withColumn("place", F.row_number().over(Window.partitionBy("label", "range").orderBy("h", "user")))
+    met = placed.join(sized, placed["label"].eqNullSafe(sized["label"]) & (placed["range"] == sized["range"])).select("user", placed["label"], "place", "before", "train")
+    return met.select("user", "label", F.when(F.col("place") + F.col("before") <= F.col("train"), "train").otherwise("test").alias("split"))

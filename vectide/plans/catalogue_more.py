@@ -47,9 +47,9 @@ def motifs_planted(spark, d):
 @query("select (2 * e)::bigint as a, (2 * e + 1)::bigint as b, case when e % 2 = 0 then 'a_to_b' else 'b_to_a' end as direction, 1 as lag from range(0, 10) t(e)")
 def granger_planted(spark, d):
     """Of each pair the one follows the other by a step."""
-    lead = "pmod(xxhash64(i + {s}, k, e div 2), 1000) / 100.0"
+    lead = "(pmod(xxhash64(i + {s}, k, e div 2), 1001) - 500) / 100.0"
     a, b = lead.format(s=1), lead.format(s=0)
-    p = _planted(spark, 200, 20, f"case when e % 2 = (e div 2) % 2 then {a} else {b} + pmod(xxhash64(e, i, k), 97) / 20.0 end")
+    p = _planted(spark, 200, 20, f"case when e % 2 = (e div 2) % 2 then {a} else {b} + (pmod(xxhash64(e, i, k), 97) - 48) / 20.0 end")
     pairs = spark.range(10).selectExpr("id * 2 as a", "id * 2 + 1 as b")
     return mining.granger(p, pairs, 1, 1e-6).select("a", "b", "direction", "lag")
 
