@@ -79,7 +79,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.clusters(_points(spark, d), NEAR)[1]
+    """Size, medoid, the most typical records (as text, for comparison) and radius of each cluster."""
+    return vectors.clusters(_points(spark, d), NEAR)[1].withColumn("typical", F.concat_ws(",", "typical"))
 
 
 def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -30,6 +30,14 @@ SQL["p6_found"] = _VECTORS + """, s as (select a, list_sort(list_append(list(b),
 bad as (select n.a from n join s x on x.a = n.a join s y on y.a = n.b where x.near <> y.near)
 select a as sequence, near[1] as cluster_key from s where a not in (select a from bad)"""
 
+_BAD = SQL["p6_found"][: SQL["p6_found"].rindex("select a as sequence")]
+SQL["p6_clusters"] = _BAD.rstrip() + """, m as (select a as sequence, near[1] as k from s where a not in (select a from bad)),
+e as (select k, v, min(m.sequence) as rep, count(*) as n from m join u using (sequence) group by k, v),
+c as (select k, i, sum(v[i] * n) / sum(n) as x from e, range(1, 65) r(i) group by k, i), w as (select k, list(x order by i) as c from c group by k),
+o as (select e.k, rep, n, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) ** 2)) as off from e join w using (k)),
+t as (select *, row_number() over (partition by k order by round(off, 9), rep) as place from o)
+select k as cluster_key, sum(n)::bigint as n_records, min(rep) filter (place = 1) as medoid, string_agg(rep::varchar, ',' order by place) filter (place <= 3) as typical, round(sqrt(max(off)), 6) as radius from t group by k"""
+
 SQL["p7_found"] = """
 with s as (select post_id, min(split) as split from erisk_mental_embeddings where split is not null group by post_id),
 w as (select u.post_id, any_value(s.split) as split, any_value(regexp_extract_all(lower(u.text), '[\\p{L}\\p{N}]+')) as ws from unified u join s using (post_id) where u.text is not null group by u.post_id),
@@ -37,3 +45,9 @@ g as (select post_id, split, unnest(list_distinct(list_transform(range(1, len(ws
 n as (select post_id, count(*) as n from g group by post_id),
 b as (select a.post_id as x, e.post_id as y, count(*) as common from g a join g e on a.sh = e.sh where a.split = 'train' and e.split in ('val', 'test') group by all)
 select least(x, y) as post_id_a, greatest(x, y) as post_id_b from b join n p on p.post_id = x join n q on q.post_id = y where common >= 0.5 * (p.n + q.n - common)"""
+
+_PAIRS = SQL["p7_found"][: SQL["p7_found"].rindex("select least(x, y)")]
+SQL["p7_report"] = _PAIRS.rstrip() + """,
+h as (select x, y, common, p.n + q.n - common as whole from b join n p on p.post_id = x join n q on q.post_id = y where common >= 0.5 * (p.n + q.n - common)),
+o as (select post_id, min(source) as source from unified group by 1)
+select s.split, o.source, count(distinct y) as n_posts, count(*)::bigint as n_pairs, count(*) filter (common = whole)::bigint as n_equal_pairs from h join s on s.post_id = y join o on o.post_id = y group by 1, 2"""
