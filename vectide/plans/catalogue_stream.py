@@ -69,6 +69,6 @@ def stream_changes(spark, d):
 def stream_signatures(spark, d):
     pipelines.state_store(spark)
     s, scratch = _stream(spark, d)
-    valid = s.where(rejection("vector", "t", 64).isNull()).withColumn("vector", F.slice("vector", 1, 3).cast("array<double>"))
+    valid = s.where(rejection("vector", "t", 64).isNull()).withColumn("vector", F.col("vector").cast("array<double>"))
     out = _run(pipelines.running_signatures(valid), scratch, "update")
     return out.groupBy("entity_id").agg(F.max_by("signature", "n_points").alias("signature"), F.max("n_points").alias("n_points")).select("entity_id", "n_points", F.round(F.col("signature")[0], 6).alias("s0"))

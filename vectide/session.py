@@ -61,6 +61,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def clear_scratch() -> None:
+    """Deletes every scratch table of this process so far; for long sessions, once their results have been read or written."""
+    for s in list(_SCRATCH):
+        s.clear()
+    _SCRATCH.clear()
+
+
+_SCRATCH: list[Scratch] = []
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: they outlive executors and every reader can reach them."""
 
@@ -68,7 +78,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/vectide/{name}-{uuid.uuid4().hex}"
         self.step = 0
-        atexit.register(self.clear)
+        if not _SCRATCH:
+            atexit.register(clear_scratch)
+        _SCRATCH.append(self)
 
     def path(self) -> str:
         self.step += 1
