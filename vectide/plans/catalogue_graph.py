@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vectide.operators import graph, learning, storage
 from vectide.operators.trajectory import W
-from vectide.plans.catalogue import ING, PTS, query
+from vectide.plans.base import ING, PTS, query
 from vectide.session import table
 from vectide.sources.points import derived, ingested
 

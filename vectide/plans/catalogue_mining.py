@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import vectors
 from vectide.operators import cohort, mining, regions
-from vectide.plans.catalogue import PTS, SQL, query
+from vectide.plans.base import PTS, SQL, query
 from vectide.plans import catalogue_series  # noqa: F401
 from vectide.session import table
 from vectide.sources.points import derived, ingested

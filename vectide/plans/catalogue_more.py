@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vectide.functions import vectors
 from vectide.operators import features, graph, learning, mining, regions, search
-from vectide.plans.catalogue import ING, PTS, SQL, query
+from vectide.plans import catalogue_mining  # noqa: F401 - its SQL is used below
+from vectide.plans.base import ING, PTS, SQL, query
 from vectide.plans.catalogue_graph import EP, NET, _episodes, _network
 from vectide.plans.catalogue_search import DIST, _anchors, _out, _q
 from vectide.session import micros, table

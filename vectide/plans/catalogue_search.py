@@ -10,7 +10,7 @@ from vectide.functions.filters import MetadataFilter, TemporalFilter
 from vectide.operators import lsh, regions, search
 from vectide.operators.joins import tier_compact, tier_union
 from vectide.operators.search import SearchSpec
-from vectide.plans.catalogue import ING, query
+from vectide.plans.base import ING, query
 from vectide.session import table
 from vectide.sources import points as pts
 

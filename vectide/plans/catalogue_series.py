@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vectide.functions import distributions, vectors
 from vectide.operators import cohort, joins
 from vectide.operators import trajectory as tr
-from vectide.plans.catalogue import PTS, query
+from vectide.plans.base import PTS, query
 from vectide.session import micros, table
 from vectide.sources.points import derived
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors
-from vectide.plans.catalogue import query
+from vectide.plans.base import query
 from vectide.session import Scratch, table
 from vectide.sources.points import rejection
 from vectide.streaming import pipelines
