@@ -318,6 +318,39 @@ def test_links_at_any_scale(spark, monkeypatch, n, chunk, sample, leaf):
         assert {r["cluster_key"]: r["n_records"] for r in described.collect()} == dict(sizes)
 
 
+@pytest.mark.parametrize(("sample", "leaf", "small"), [(32768, 8, {}), (300, 4, {"CHUNK": 64, "BALLS": 50, "SLAB": 200, "ASKED": 40})])
+def test_no_link_is_lost(spark, monkeypatch, sample, leaf, small):
+    """Lone pairs just within the radius, groups that only some members of others reach, crossed and cut cells, several rounds: groups as by brute force."""
+    for name, value in ({"SAMPLE": sample, "LEAF": leaf} | small).items():
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(12)
+    unit = lambda z: z / np.linalg.norm(z, axis=-1, keepdims=True)
+    c = unit(rng.standard_normal((400, 64)))
+    pairs = np.vstack([c, c + unit(rng.standard_normal(c.shape)) * np.sqrt(rng.uniform(0.27, 0.299, (400, 1)))])
+    hubs = unit(rng.standard_normal((12, 64)))
+    groups = (hubs[:, None] + 0.02 * rng.standard_normal((12, 25, 64))).reshape(-1, 64)
+    rim = (hubs[:, None] + unit(rng.standard_normal((12, 30, 64))) * rng.uniform(0.4, 0.75, (12, 30, 1))).reshape(-1, 64)
+    x = np.round(np.vstack([pairs, groups, rim, unit(rng.standard_normal((600, 64)))]) * 256) / 256
+    x = np.unique(x, axis=0)[rng.permutation(len(np.unique(x, axis=0)))]
+    col = vectors.Collection(spark.createDataFrame([(i, v.tolist(), "x", 0) for i, v in enumerate(x)], VEC), "sequence", "vector", 64)
+    got = vectors.similarity_groups(col, 0.3).toPandas()
+    want = brute_components(true_pairs(x))
+    assert dict(zip(got["rep"], got["root"])) == want
+    sizes = Counter(want.values())
+    assert dict(zip(got["rep"], got["size"])) == {i: sizes[k] for i, k in want.items()}
+
+
+def test_links_of_long_vectors(spark):
+    """Far from the origin single precision doesn't tell distances; links are settled in double there."""
+    rng = np.random.default_rng(3)
+    x = np.round((40 + np.repeat(rng.standard_normal((60, 64)), 2, axis=0) + 0.04 * rng.standard_normal((120, 64))) * 256) / 256
+    c = vectors.Collection(spark.createDataFrame([(i, v.tolist(), "x", 0) for i, v in enumerate(x)], VEC), "sequence", "vector", 64)
+    d = ((x[:, None] - x) ** 2).sum(-1)
+    want = brute_components([(int(a), int(b)) for a, b in np.argwhere(np.triu(d <= 0.3, 1))])
+    got = {r["rep"]: r["root"] for r in vectors.similarity_groups(c, 0.3).collect()}
+    assert want and got == want
+
+
 def test_nearest_of_many_recall(spark, monkeypatch):
     monkeypatch.setattr(vectors, "ASKED", 40)  # several blocks
     x = mixed_vectors(4000, 8)
