@@ -340,6 +340,45 @@ def test_no_link_is_lost(spark, monkeypatch, sample, leaf, small):
     assert dict(zip(got["rep"], got["size"])) == {i: sizes[k] for i, k in want.items()}
 
 
+def test_collection_of_copies(spark):
+    """Copies, records sent again and an id with two vectors: each distinct vector that counts, once, with its least ids."""
+    x = mixed_vectors(300, 4)
+    rows = [(i, v.tolist(), "x", 0) for i, v in enumerate(np.vstack([x, x[:40], *[x[5:6]] * 9]))]
+    odd = [(7, x[0].tolist(), "x", 0), (9, (x[9] + 1).tolist(), "x", 0), (11, x[11].tolist(), "x", 0)]
+    c = vectors.Collection(spark.createDataFrame(rows + odd, VEC), "sequence", "vector", 64, 4)
+    kept = {r["id"]: r["rep"] for r in c.members.collect()}
+    got = {r["rep"]: (r["n"], list(r["first"]), tuple(r["v"])) for r in c.vectors.collect()}
+    assert c.n == len(got) and set(kept) == {r[0] for r in rows} and set(kept.values()) == set(got)
+    for rep, (n, first, v) in got.items():
+        ids = sorted(i for i, k in kept.items() if k == rep)
+        assert n == len(ids) and first == ids[:4] and all(any(r[0] == i and tuple(r[1]) == v for r in rows + odd) for i in ids)
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of run write for others."""
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return [found.apply(k) for k in range(found.size())]
+
+    last = max((s.stageId() for s in stages()), default=-1)
+    run()
+    return sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > last)
+
+
+@pytest.mark.parametrize("query", ["p4_found"])
+def test_vectors_travel_few_times(spark, monkeypatch, tmp_path, query):
+    """With crossed cells as in large tables, too, the shuffle is not many copies of the vectors."""
+    monkeypatch.setattr(vectors, "SAMPLE", 300)
+    monkeypatch.setattr(vectors, "LEAF", 4)
+    x = mixed_vectors(6000, 21)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sequence long, vector array<float>").write.parquet(str(tmp_path / "ingestpoint.parquet"))
+    moved = shuffled(spark, lambda: queries.QUERIES[query](spark, str(tmp_path)).collect())
+    assert moved <= 8 * 64 * len(x)  # some 64 bytes a packed vector, with all ids and links
+
+
 def test_links_of_long_vectors(spark):
     """Far from the origin single precision doesn't tell distances; links are settled in double there."""
     rng = np.random.default_rng(3)
