@@ -368,7 +368,7 @@ def shuffled(spark, run):
     return sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > last)
 
 
-@pytest.mark.parametrize("query", ["p4_found"])
+@pytest.mark.parametrize("query", ["p4_found", "p6_found"])
 def test_vectors_travel_few_times(spark, monkeypatch, tmp_path, query):
     """With crossed cells as in large tables, too, the shuffle is not many copies of the vectors."""
     monkeypatch.setattr(vectors, "SAMPLE", 300)
