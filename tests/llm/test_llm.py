@@ -2,7 +2,9 @@
 
 import os
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -379,6 +381,33 @@ def test_vectors_travel_few_times(spark, monkeypatch, tmp_path, query):
     assert moved <= 8 * 64 * len(x)  # some 64 bytes a packed vector, with all ids and links
 
 
+def test_links_leave_no_files(spark, monkeypatch):
+    """Where links merge in several rounds, groups are as by brute force; neither tables of pairs in doubt nor shuffle files of finished tables stay on disk."""
+    for name, value in {"SAMPLE": 300, "LEAF": 4, "BALLS": 200, "SLAB": 500, "WAIT": 10}.items():
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    rng = np.random.default_rng(31)
+    unit = lambda z: z / np.linalg.norm(z, axis=-1, keepdims=True)
+    hubs = unit(rng.standard_normal((12, 64)))
+    rim = (hubs[:, None] + unit(rng.standard_normal((12, 60, 64))) * rng.uniform(0.3, 0.75, (12, 60, 1))).reshape(-1, 64)
+    x = np.unique(np.round(np.vstack([rim, unit(rng.standard_normal((600, 64)))]) * 256) / 256, axis=0)
+    df = spark.createDataFrame([(i, v.tolist(), "x", 0) for i, v in enumerate(x)], VEC)
+    dirs = [d.getAbsolutePath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f: f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data") if f.exists()}
+    before, rounds, settle = files(), [], vectors._settled
+    monkeypatch.setattr(vectors, "_settled", lambda *a: rounds.append(1) or settle(*a))
+    c = vectors.Collection(df, "sequence", "vector", 64)
+    got = vectors.similarity_groups(c, 0.3).toPandas()
+    assert dict(zip(got["rep"], got["root"])) == brute_components(true_pairs(x))
+    tables = [p for p in Path(c.scratch.root.removeprefix("file://")).iterdir() if p.is_dir()]
+    assert tables and not any("ca" in spark.read.parquet(str(p)).columns for p in tables) and len(rounds) > 1
+    for _ in range(20):  # they are deleted in the background
+        left = sum(size for f, size in files().items() if f not in before)
+        if left <= 20 * len(x):
+            break
+        time.sleep(0.5)
+    assert left <= 20 * len(x)  # the vectors alone, packed, are some 64 bytes each
+
+
 def test_links_of_long_vectors(spark):
     """Far from the origin single precision doesn't tell distances; links are settled in double there."""
     rng = np.random.default_rng(3)
