@@ -2,6 +2,7 @@
 
 import json
 import tarfile
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -380,3 +381,25 @@ def test_recall_of_approximate_searches(name, spark, sf, monkeypatch):
         found.append(len(best & {r["node_id"] for r in catalogue.QUERIES[name](spark, sf).collect()}) / 10)
     print(name, found)
     assert np.mean(found) >= 0.9
+
+
+def test_nearest_hub_ties_and_memory(spark):
+    # the point lies 2e-11 nearer to hub 5 than to hub 4 in square: equal to nine digits, so the lower id counts
+    p = points(spark, [(1, 0, [1.0, 0.0], None, None)])
+    h = spark.createDataFrame([(4, [0.0, 0.0]), (5, [1e-11, 0.0]), (3, [5.0, 5.0]), (9, [0.0, 0.0])], "hub long, hub_vector array<double>")
+    assert [r["hub"] for r in regions.assign(p, h).collect()] == [4]
+    assert regions.assign(p, h.where("false")).count() == 0
+    # a whole batch against as many hubs as sf0.1 has ten times over: 10,000 x 24,000 distances never stand at once
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((10_000, 8)), rng.standard_normal((24_000, 8))
+    y[100] = y[90] = x[7]
+    tracemalloc.start()
+    at, d = regions.nearest_rows(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and at[7] == 90 and d[7] == 0
+    every = ((x[:200, None] - y[None]) ** 2).sum(-1)
+    assert (at[:200] == every.argmin(1)).all() and np.abs(d[:200] - every.min(1)).max() < 1e-12
+    # sizes that single precision can't hold
+    at, d = regions.nearest_rows(np.array([[1e30], [3e30]]), np.array([[0.0], [2.9e30]]))
+    assert at.tolist() == [0, 1]

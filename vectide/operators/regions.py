@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from vectide.functions import vectors
+from vectide.session import Scratch
 
 MOST_HUBS = 65_536
+TILE_ROWS, TILE_HUBS = 512, 2_048
 
 
 def hubs(points: DataFrame, level: int, m: int = 16) -> DataFrame:
@@ -20,44 +25,82 @@ def hubs(points: DataFrame, level: int, m: int = 16) -> DataFrame:
 
 
 def assign(points: DataFrame, hub_table: DataFrame) -> DataFrame:
-    """points with the nearest hub (squared L2, ties to the lower id) and its distance.
+    """points with the nearest hub and its distance (squared L2; those equal to nine digits go to the lower id).
 
-    Hubs travel with the tasks in blocks of at most MOST_HUBS and are met by one matrix product per batch; where a
-    level has more, points meet one block after the other and keep the best. No hub gives no row.
+    Hubs travel with the tasks in blocks of at most MOST_HUBS; where a level has more, points meet one block after the
+    other and keep the best. A batch meets a block tile by tile, so a task holds one block and one tile. No hub gives no row.
     """
-    n = hub_table.count()
-    numbered = hub_table.withColumn("block", F.pmod(F.xxhash64("hub"), F.lit(max(1, -(-n // (MOST_HUBS // 2))))))
-    blocks = range(max(1, -(-n // (MOST_HUBS // 2))))
-    found = [_nearest_hub(points, numbered.where(F.col("block") == i)) for i in blocks]
-    if len(found) == 1:
-        return points.join(found[0], "node_id")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    best = every.groupBy("node_id").agg(F.min(F.struct("hub_distance", "hub")).alias("x")).select("node_id", "x.hub", "x.hub_distance")
+    kept = Scratch(points.sparkSession, "hubs", tidy=True).write(hub_table)  # else each count and block shuffles all points again
+    n = kept.count()
+    if n <= MOST_HUBS:
+        return _nearest_hub(points, kept)
+    k = -(-n // (MOST_HUBS // 2))
+    found = [_nearest_hub(points.select("node_id", "vector"), kept.where(F.pmod(F.xxhash64("hub"), F.lit(k)) == i)).drop("vector") for i in range(k)]
+    every = reduce(DataFrame.unionByName, found)
+    best = every.groupBy("node_id").agg(F.min(F.struct(F.floor(F.col("hub_distance") * 1e9 + 0.5), "hub", "hub_distance")).alias("x")).select("node_id", "x.hub", "x.hub_distance")
     return points.join(best, "node_id")
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as one matrix of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, n = np.asarray(column.flatten(), float), len(column)
+    if n and (flat.size % n or pc.any(pc.not_equal(pc.list_value_length(column), flat.size // n)).as_py()):
+        raise ValueError("vectors differ in length")
+    return flat.reshape(n, flat.size // max(n, 1))
+
+
 def _nearest_hub(points: DataFrame, hub_table: DataFrame) -> DataFrame:
-    """node_id, hub, hub_distance over one block of hubs; more than MOST_HUBS are refused."""
-    rows = hub_table.select("hub", "hub_vector").orderBy("hub").limit(MOST_HUBS + 1).collect()
+    """points with hub, hub_distance over one block of hubs; more than MOST_HUBS are refused."""
+    rows = hub_table.select("hub", F.col("hub_vector").cast("array<double>").alias("v")).limit(MOST_HUBS + 1).toArrow()
     if len(rows) > MOST_HUBS:
         raise ValueError(f"a block of hubs holds more than {MOST_HUBS}")
-    ids, h = np.array([r["hub"] for r in rows], np.int64), np.array([r["hub_vector"] for r in rows], float)
-    shared = points.sparkSession.sparkContext.broadcast((ids, h))
+    ids, h = np.asarray(rows["hub"], np.int64), _matrix(rows["v"])
+    order = np.argsort(ids, kind="stable")
+    if h.size:  # of equal hubs only the lowest id can be the nearest
+        order = order[np.sort(np.unique(np.ascontiguousarray(h[order]).view(f"V{h.shape[1] * 8}").ravel(), return_index=True)[1])]
+    shared = points.sparkSession.sparkContext.broadcast((ids[order], h[order]))
 
     def near(batches):
         ids, h = shared.value
-        for pdf in batches:
-            if len(pdf) and len(ids):
-                x = np.stack(pdf["vector"].to_numpy()).astype(float)
-                d = (x * x).sum(1)[:, None] + (h * h).sum(1)[None] - 2 * x @ h.T
-                # ties within rounding go to the lower id
-                at = (d <= d.min(1, keepdims=True) + 1e-12).argmax(1)
-                exact = ((x - h[at]) ** 2).sum(1)
-                yield pd.DataFrame({"node_id": pdf["node_id"], "hub": ids[at], "hub_distance": exact})
-
-    return points.select("node_id", "vector").mapInPandas(near, "node_id long, hub long, hub_distance double")
+        for b in batches:
+            if b.num_rows and len(ids):
+                at, exact = nearest_rows(_matrix(b.column("vector")), h)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids[at]), pa.array(exact)], names=[*b.schema.names, "hub", "hub_distance"])
+
+    return points.mapInArrow(near, StructType([*points.schema.fields, StructField("hub", LongType()), StructField("hub_distance", DoubleType())]))
+
+
+def nearest_rows(x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x the nearest row of h, the first of those equal to nine digits, and their squared distance.
+
+    Single precision, tile by tile, finds which rows lie within its error of the best; double precision decides among them.
+    """
+    size = np.sqrt((h * h).sum(1))
+    kind = np.float32 if 1e-15 < size.max() < 1e15 and np.abs(x).max(initial=0.0) < 1e15 else np.float64
+    # score x.h - h.h / 2 is largest where the distance is least: one product, as x gets a 1 and h its -h.h / 2
+    hs = np.concatenate([h, -0.5 * (size * size)[:, None]], 1).astype(kind)
+    at, exact = np.empty(len(x), np.int64), np.empty(len(x))
+    for lo in range(0, len(x), TILE_ROWS):
+        part = x[lo : lo + TILE_ROWS]
+        xs = np.concatenate([part, np.ones((len(part), 1))], 1).astype(kind)
+        # twice the error of a sum of so many products, and what nine digits of the squared distance leave open
+        slack = 2 * (hs.shape[1] + 4) * np.finfo(kind).eps * (np.sqrt((part * part).sum(1)) * size.max() + size.max() ** 2) + 2e-9
+        best, digits = np.full(len(part), -np.inf), np.full(len(part), np.inf)
+        for k in range(0, len(hs), TILE_HUBS):
+            s = xs @ hs[k : k + TILE_HUBS].T
+            top = s.max(1)
+            best = np.maximum(best, top)
+            rows = np.flatnonzero(top >= best - slack)
+            r, c = np.nonzero(s[rows] >= (best - slack)[rows, None])
+            r, c = rows[r], c + k
+            d = np.concatenate([((part[r[i : i + TILE_HUBS]] - h[c[i : i + TILE_HUBS]]) ** 2).sum(1) for i in range(0, len(r), TILE_HUBS)] or [np.zeros(0)])
+            nine = np.floor(d * 1e9 + 0.5)
+            order = np.lexsort((c, nine, r))
+            first = order[np.flatnonzero(np.diff(r[order], prepend=-1))]  # of each row; later tiles have higher ids
+            first = first[nine[first] < digits[r[first]]]
+            digits[r[first]], at[lo + r[first]], exact[lo + r[first]] = nine[first], c[first], d[first]
+    return at, exact
 
 
 def region_counts(assigned: DataFrame, hub_table: DataFrame) -> DataFrame:
