@@ -403,3 +403,10 @@ def test_nearest_hub_ties_and_memory(spark):
     # sizes that single precision can't hold
     at, d = regions.nearest_rows(np.array([[1e30], [3e30]]), np.array([[0.0], [2.9e30]]))
     assert at.tolist() == [0, 1]
+
+
+def test_region_shares_meet_hubs_once(spark):
+    p = points(spark, [(e, i, [float(i), float(e)], None, None) for e in range(2) for i in range(40)])
+    a = regions.assign(p, regions.hubs(p, 1))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert plan(regions.region_shares(a, 10)) == 1 and plan(regions.region_trajectory(a, 10, 0.5)) == 0

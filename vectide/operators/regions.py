@@ -110,15 +110,14 @@ def region_counts(assigned: DataFrame, hub_table: DataFrame) -> DataFrame:
 
 def region_shares(assigned: DataFrame, window_us: int) -> DataFrame:
     """entity_id, win, t (the window's middle), hub, share: tumbling windows from the entity's first point; empty windows are skipped."""
-    first = assigned.groupBy("entity_id").agg(F.min("t").alias("t0"))
-    w = assigned.select("entity_id", "t", "hub").join(first, "entity_id").withColumn("win", F.floor((F.col("t") - F.col("t0")) / window_us).cast("long"))
+    w = assigned.select("entity_id", "t", "hub").withColumn("t0", F.min("t").over(Window.partitionBy("entity_id"))).withColumn("win", F.floor((F.col("t") - F.col("t0")) / window_us).cast("long"))
     counts = w.groupBy("entity_id", "win", "hub").agg(F.count(F.lit(1)).alias("n"), (F.min("t0") + F.col("win") * window_us + window_us // 2).alias("t"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("entity_id", "win"))).select("entity_id", "win", "t", "hub", "share")
 
 
 def region_trajectory(assigned: DataFrame, window_us: int, alpha: float) -> DataFrame:
     """region_shares smoothed in time: alpha * share + (1 - alpha) * before, per hub that the entity ever visits; the first window as it is."""
-    shares = region_shares(assigned, window_us)
+    shares = Scratch(assigned.sparkSession, "shares", tidy=True).write(region_shares(assigned, window_us))  # read three times, found once
     grid = shares.select("entity_id", "win", "t").distinct().join(shares.select("entity_id", "hub").distinct(), "entity_id")
     full = grid.join(shares.select("entity_id", "win", "hub", "share"), ["entity_id", "win", "hub"], "left").select("entity_id", "hub", "win", "t", F.coalesce("share", F.lit(0.0)).alias("share"))
     line = full.groupBy("entity_id", "hub").agg(F.array_sort(F.collect_list(F.struct("win", "t", "share"))).alias("x"))

@@ -241,7 +241,7 @@ HUBS = "h as (select node_id as hub, vector as hv from pts where node_id % 16 =
 
 
 def _assigned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = pts.ingested(spark, d)
+    p = pts.ingested(spark, d).select("node_id", "entity_id", "t", "vector")
     h = regions.hubs(p, 1)
     return regions.assign(p, h), h
 
