@@ -410,3 +410,22 @@ def test_region_shares_meet_hubs_once(spark):
     a = regions.assign(p, regions.hubs(p, 1))
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
     assert plan(regions.region_shares(a, 10)) == 1 and plan(regions.region_trajectory(a, 10, 0.5)) == 0
+
+
+def test_walks_without_shuffled_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b), "x", float(w)) for a, b, w in zip(rng.zipf(1.3, 900) % 150, rng.zipf(1.3, 900) % 150, rng.choice([0.005, 0.1, 0.5, 1.0, 1.7, -1.0], 900))]
+    rows += [(None, 3, "x", 1.0), (4, None, "x", 1.0), (4, 5, "x", None)]
+    e = spark.createDataFrame(rows, "source long, target long, edge_type string, weight double")
+    starts = spark.createDataFrame([(i,) for i in [*range(140), 7, None, 999]], "start long")
+    got = lambda f: {(r[0], r[1]): r[2] for r in f(e, starts, None, 3).collect()}
+    joined = {}
+    with monkeypatch.context() as m:
+        m.setattr(graph, "MOST_EDGES", 0)
+        joined = {f: got(f) for f in (graph.traverse, graph.reach)}
+    monkeypatch.setattr(graph, "Scratch", None)  # neither keeps pairs on disk
+    monkeypatch.setattr(graph, "MOST_CELLS", 150 * 70)
+    monkeypatch.setattr(graph, "HEAVY", 8)
+    for f in (graph.traverse, graph.reach):
+        assert got(f) == joined[f] and len(joined[f]) > 1000
+    assert graph.reach(e.where("false"), starts, None, 3).count() == 0 and graph.traverse(e, starts.where("false"), None, 3).count() == 0

@@ -2,12 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-from vectide.session import Scratch
+from vectide.session import Scratch, width
 
 PRUNE = 0.01
+MOST_EDGES = 2_000_000  # edges that travel with the tasks, 24 bytes each
+MOST_CELLS, CHUNK, HEAVY = 2_000_000, 2_048, 64  # nodes x starts that a task holds at once, edges that it follows at once, and incoming edges of a node that is met apart
+
+
+class _Edges:
+    """Edges by target, to be followed in groups: the k-th incoming edge of every node with up to HEAVY of them, and all edges of one other node."""
+
+    def __init__(self, rows: pa.Table):
+        source, target = rows["source"].combine_chunks(), rows["target"].combine_chunks()
+        self.nodes = pc.unique(pa.concat_arrays([source, target.cast(source.type)]))
+        at, to = (np.asarray(pc.index_in(x.cast(source.type), value_set=self.nodes), np.int64) for x in (source, target))
+        order = np.argsort(to, kind="stable")
+        at, to = at[order], to[order]
+        weight = np.asarray(rows["w"], float)[order] if "w" in rows.schema.names else None
+        first = np.searchsorted(to, to)
+        rank, heavy = np.arange(len(to)) - first, (np.searchsorted(to, to, "right") - first) > HEAVY
+        pick = lambda i: (to[i], at[i], None if weight is None else weight[i])
+        light = np.flatnonzero(~heavy)
+        light = light[np.argsort(rank[light], kind="stable")]
+        groups = np.split(light, np.flatnonzero(np.diff(rank[light])) + 1)
+        self.light = [pick(g[i : i + CHUNK]) for g in groups for i in range(0, len(g), CHUNK)]
+        of_one = np.flatnonzero(heavy)
+        self.heavy = [pick(g[i : i + CHUNK]) for g in np.split(of_one, np.flatnonzero(np.diff(to[of_one])) + 1) for i in range(0, len(g), CHUNK)]
+
+    def step(self, front: np.ndarray, meet: np.ufunc) -> np.ndarray:
+        """One hop of every start (columns) at once: over a node's incoming edges, the greatest product or the union of bits."""
+        out, active = np.zeros_like(front), front.any(1)
+        for groups, one in ((self.light, False), (self.heavy, True)):
+            for to, at, w in groups:
+                keep = active[at]
+                if not keep.any():
+                    continue
+                if not keep.all():
+                    to, at, w = to[keep], at[keep], None if w is None else w[keep]
+                moved = front[at]
+                if w is not None:
+                    moved *= w[:, None]
+                if one:
+                    out[to[0]] = meet(out[to[0]], meet.reduce(moved, axis=0))
+                else:
+                    out[to] = meet(out[to], moved)
+        return out
+
+
+def _small(e: DataFrame) -> _Edges | None:
+    """The edges where they can travel with the tasks, which then need no shuffle; None where they are more, or hold weights beyond numbers."""
+    rows = e.limit(MOST_EDGES + 1).toArrow()
+    if len(rows) > MOST_EDGES or "w" in rows.schema.names and not np.isfinite(np.asarray(rows["w"], float)).all():
+        return None
+    return _Edges(rows)
+
+
+def _per_start(starts: DataFrame, edges: _Edges, node: DataType, name: str, kind: str, follow: Callable[[_Edges, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """start, node and a value, found for some starts at a time; follow yields places of starts, of nodes, and values."""
+    schema = StructType([starts.schema["start"], StructField("node", node), *StructType.fromDDL(f"{name} {kind}").fields])
+    shared = starts.sparkSession.sparkContext.broadcast(edges)
+
+    def run(batches):
+        e = shared.value
+        at_once = max(1, min(256, MOST_CELLS // max(1, len(e.nodes))))
+        for b in batches:
+            own = b.column(0)
+            place = pc.index_in(own.cast(e.nodes.type), value_set=e.nodes)
+            own, place = own.filter(place.is_valid()), np.asarray(place.drop_null(), np.int64)
+            for i in range(0, len(place), at_once):
+                for s, n, value in follow(e, place[i : i + at_once]):
+                    for k in range(0, len(s), 500_000):
+                        x = slice(k, k + 500_000)
+                        yield pa.RecordBatch.from_arrays([own.take(pa.array(s[x] + i)), e.nodes.take(pa.array(n[x])), pa.array(value[x])], names=["start", "node", name])
+
+    return starts.select("start").where("start is not null").distinct().repartition(4 * width(starts.sparkSession), "start").mapInArrow(run, schema)
 
 
 def temporal_edges(points: DataFrame) -> DataFrame:
@@ -49,13 +126,31 @@ def success_scores(edges: DataFrame) -> DataFrame:
 def traverse(edges: DataFrame, starts: DataFrame, types: list[str] | None, hops: int) -> DataFrame:
     """start, node, weight: nodes within so many hops of each start (column start), with the best product of weights; products up to 0.01 are cut off.
 
-    A hop is a shuffled join; paths to one node are merged by a partial aggregate before the next, so work is bounded
-    by nodes and not by paths. Multi-edges count with their best weight, null weights not at all; a start is not its own result.
+    Up to MOST_EDGES edges travel with the tasks, each of which follows some starts to the end, so no pair of nodes is
+    shuffled or kept on disk. Of more edges a hop is a shuffled join; paths to one node are merged by a partial aggregate
+    before the next, so work is bounded by nodes and not by paths. Multi-edges count with their best weight, null weights
+    not at all; a start is not its own result.
     """
     e = edges.where("source is not null and target is not null and weight is not null")
     if types:
         e = e.where(F.col("edge_type").isin(*types))
-    e = e.groupBy("source", "target").agg(F.max("weight").alias("w"))
+    e = e.groupBy("source", "target").agg(F.max("weight").cast("double").alias("w"))
+    if small := _small(e):
+
+        def follow(g, own):
+            cols = np.arange(len(own))
+            front = np.zeros((len(g.nodes), len(own)))
+            front[own, cols] = 1.0
+            best = np.zeros_like(front)
+            for _ in range(hops):
+                front = g.step(front, np.maximum)
+                front[front <= PRUNE] = 0.0
+                front[own, cols] = 0.0
+                np.maximum(best, front, out=best)
+            s, n = np.nonzero(best.T)
+            yield s, n, best[n, s]
+
+        return _per_start(starts, small, edges.schema["target"].dataType, "weight", "double", follow)
     scratch = Scratch(edges.sparkSession, "traverse")
     front = starts.select("start", F.col("start").alias("node"), F.lit(1.0).alias("weight"))
     best = front
@@ -67,11 +162,29 @@ def traverse(edges: DataFrame, starts: DataFrame, types: list[str] | None, hops:
 
 
 def reach(edges: DataFrame, starts: DataFrame, types: list[str] | None, hops: int) -> DataFrame:
-    """start, node, hop: shortest number of hops to every node within hops; self edges and repeats don't matter."""
+    """start, node, hop: shortest number of hops to every node within hops; self edges and repeats don't matter.
+
+    Up to MOST_EDGES edges travel with the tasks, as in traverse, 64 starts in a word.
+    """
     e = edges.where("source is not null and target is not null")
     if types:
         e = e.where(F.col("edge_type").isin(*types))
     e = e.select("source", "target").distinct()
+    if small := _small(e):
+
+        def follow(g, own):
+            cols = np.arange(len(own))
+            seen = np.zeros((len(g.nodes), -(-len(own) // 64)), np.uint64)
+            seen[own, cols // 64] |= np.uint64(1) << (cols % 64).astype(np.uint64)
+            front = seen.copy()
+            for hop in range(1, hops + 1):
+                front = g.step(front, np.bitwise_or) & ~seen
+                seen |= front
+                met = np.unpackbits(front.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+                s, n = np.nonzero(met.T)
+                yield s, n, np.full(len(s), hop, np.int32)
+
+        return _per_start(starts, small, edges.schema["target"].dataType, "hop", "int", follow)
     scratch = Scratch(edges.sparkSession, "reach")
     seen = scratch.write(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hop")).distinct())
     front = seen
