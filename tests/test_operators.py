@@ -2,6 +2,7 @@
 
 import json
 import tarfile
+import time
 import tracemalloc
 
 import numpy as np
@@ -429,3 +430,30 @@ def test_walks_without_shuffled_pairs(spark, monkeypatch):
     for f in (graph.traverse, graph.reach):
         assert got(f) == joined[f] and len(joined[f]) > 1000
     assert graph.reach(e.where("false"), starts, None, 3).count() == 0 and graph.traverse(e, starts.where("false"), None, 3).count() == 0
+
+
+def test_first_largest_group(spark):
+    def plain(x, epsilon):
+        best: list[int] = []
+        for i in range(len(x)):
+            members = [i]
+            for j in range(i + 1, len(x)):
+                if (((x[members] - x[j]) ** 2).sum(1) <= epsilon * epsilon).all():
+                    members.append(j)
+            best = members if len(members) > len(best) else best
+        return best
+
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 64, 65, 200):
+        for epsilon in (0.0, 0.3, 0.9, 5.0):
+            x = rng.standard_normal((n, 4)) / 2
+            x[3:4] = x[5:6] if n > 5 else x[3:4]
+            assert mining.first_largest_group(x, epsilon).tolist() == plain(x, epsilon)
+    # entities with equal points are a group within 0, whatever rounding does; most of 1,500 entities near each other took minutes a window
+    same = rng.standard_normal((20, 64)).tolist()
+    for v in same[:3]:
+        p = points(spark, [(e, 0, v, None, None) for e in range(4)])
+        assert [r["entities"] for r in mining.group_temporal_join(p, 0.0, 4, 1000).collect()] == [[0, 1, 2, 3]]
+    x = rng.standard_normal((1_500, 64)) / 8 / np.sqrt(rng.integers(1, 9, 1_500))[:, None]
+    began = time.process_time()
+    assert len(mining.first_largest_group(x, 0.9)) > 500 and time.process_time() - began < 20
